@@ -7,54 +7,43 @@ from recordmill import contract as C
 from recordmill.functions.text import BLANK_CLASS, trim_blanks
 
 # The numeric shapes exclude one another, so one pattern recognises them all.
-# Groups, by shape:      year       month        day
+# Day and month are read month first. Day first is possible only where the first
+# number is no month: a day over 12 in second place is no month either.
 NUMERIC = (
     r"^(?:(\d{4})-(\d{2})-(\d{2})"                    # 2022-06-05
     r"|(\d{4})/(\d{1,2})/(\d{1,2})"                   # 2022/6/5
-    r"|(\d{1,2})[-/](\d{1,2})[-/](\d{4})"             # 06/05/2022, month first
+    r"|(0?\d|1[0-2])[-/](\d{1,2})[-/](\d{4})"         # 06/05/2022
+    r"|(\d{1,2})[-/](\d{1,2})[-/](\d{4})"             # 17/06/2022
     r"|(\d{1,2})[-/](\d{4})"                          # 06/2022
     r"|(\d{4})[-/](\d{1,2}))\z"                       # 2022-06
 )
-MONTH_FIRST = "$1$4$9$11$12-$2$5$7$10$13-$3$6$8"
-DAY_FIRST_SHAPE = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})\z"
-DAY_FIRST = "$3-$2-$1"
+YEAR_MONTH_DAY = "$1$4$9$12$14$15-$2$5$7$11$13$16-$3$6$8$10-"
 NAMED = rf"^(?:([a-z]+)\.?[{BLANK_CLASS}]+(\d{{4}})|(\d{{4}})[{BLANK_CLASS}]+([a-z]+)\.?)\z"
+YEAR_NAME = "$2$3-$1$4-"
 
 MONTH_NUMBER = {
-    name: str(number)
+    name: number
     for number, full in enumerate(C.MONTHS, 1)
     for name in {full, full[:3]} | ({"sept"} if full == "september" else set())
 }
 
 
-def _calendar_date(parts: Column) -> Column:
-    """``y-m-d`` text to a date; null when the calendar has no such day."""
-    return F.try_to_date(parts, "yyyy-M-d")
-
-
 def parse_date(value: Column) -> Column:
     """Normalised date text, or null.
 
-    Day and month are read month first, and day first only where month first is
-    no date. Month-and-year shapes give the first of the month.
+    Month-and-year shapes give the first of the month. A replacement that
+    changed nothing did not match: what matches always gains a final dash.
     """
     text = trim_blanks(value)
-    parts = F.regexp_replace(text, NUMERIC, MONTH_FIRST)
-    parts = F.when(parts.endswith("-"), F.concat(parts, F.lit("1"))).otherwise(parts)
-    day_first = F.when(
-        text.rlike(DAY_FIRST_SHAPE),
-        _calendar_date(F.regexp_replace(text, DAY_FIRST_SHAPE, DAY_FIRST)),
-    )
-
+    numeric = F.regexp_replace(text, NUMERIC, YEAR_MONTH_DAY)
     lowered = F.lower(text)
-    month = F.regexp_replace(lowered, NAMED, "$1$4")
-    months = F.create_map(*[F.lit(x) for pair in MONTH_NUMBER.items() for x in pair])
-    named = _calendar_date(F.concat_ws(
-        "-", F.regexp_replace(lowered, NAMED, "$2$3"), F.try_element_at(months, month), F.lit("1"),
-    ))
-
-    date = F.when(text.rlike(NUMERIC), F.coalesce(_calendar_date(parts), day_first)).when(
-        lowered.rlike(NAMED), named
+    named = F.regexp_replace(lowered, NAMED, YEAR_NAME)
+    numbers = F.create_map(*[
+        F.lit(x) for name, number in MONTH_NUMBER.items() for x in (f"{name}-", f"-{number}")
+    ])
+    parts = F.when(numeric != text, F.rtrim(numeric, F.lit("-"))).when(
+        named != lowered,
+        F.concat(F.substring(named, 1, 4), F.try_element_at(numbers, F.substring(named, 6, 20))),
     )
     # years below 100 are no dates for the source systems; years below 1000 print unpadded
-    return F.when(F.year(date) >= 100, F.ltrim(date.cast("string"), F.lit("0")))
+    return F.when(parts >= "0100", F.ltrim(parts.try_cast("date").cast("string"), F.lit("0")))

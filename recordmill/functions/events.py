@@ -12,57 +12,65 @@ FIELD_PATHS = ["$.fields", "$.record.fields"]
 EVENT_PATHS = ["$.eventId", "$.event_id"]
 
 
-def _first_set(json: Column, paths: list[str]) -> Column:
-    """First path with a value that is neither missing nor empty, zero or false."""
-    def value(path: str) -> Column:
-        found = F.try_variant_get(json, path, "variant")
-        # containers and nonempty scalars count; their text tells them apart
-        kind = F.schema_of_variant(found)
-        text = F.try_variant_get(found, "$", "string")
-        number = F.try_variant_get(found, "$", "double")
-        empty = (
-            (kind == "VOID")
-            | ((kind == "STRING") & (text == ""))
-            | ((kind == "BOOLEAN") & (text == "false"))
-            | (~kind.isin("STRING", "BOOLEAN") & (number == 0.0))
-        )
-        return F.when(found.isNotNull() & ~F.coalesce(empty, F.lit(False)), found)
+# JSON texts that do not count as a value: null, empty, false, zero
+UNSET = r'^(?:null|""|false|-?0(?:\.0+)?(?:[eE][-+]?\d+)?)\z'
+
+
+def _first_set(texts: list[Column]) -> Column:
+    return F.coalesce(*[F.when(~text.rlike(UNSET), text) for text in texts])
+
 
-    return F.coalesce(*[value(p) for p in paths])
+def _plain(text: Column) -> Column:
+    """JSON text of a scalar without its quotes."""
+    return F.when(
+        text.startswith('"'), F.try_variant_get(F.try_parse_json(text), "$", "string")
+    ).otherwise(text)
 
 
 def event_fields(df: DataFrame, body: str = "body") -> DataFrame:
-    """Adds entity, table_name, record_id, fields (variant), source_event_id, error, error_code.
+    """Adds entity, table_name, record_id, fields (JSON text), source_event_id, error, error_code.
 
-    A payload that cannot be read keeps its row, with the error filled in.
+    A payload that cannot be read keeps its row, with the error filled in. The
+    body is parsed once; each path of interest is kept as JSON text, which still
+    tells a string from a number.
     """
-    found = (
-        df.withColumn("_json", F.try_parse_json(F.col(body)))
-        .withColumn("_table", _first_set(F.col("_json"), TABLE_PATHS))
-        .withColumn("_id", _first_set(F.col("_json"), ID_PATHS))
-        .withColumn("_fields", _first_set(F.col("_json"), FIELD_PATHS))
-        .withColumn("_event", _first_set(F.col("_json"), EVENT_PATHS))
-    )
-    kind = F.schema_of_variant(F.col("_json"))
-    is_object = F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
-    table = F.try_variant_get(F.col("_table"), "$", "string")
-    entity = entity_of_table(table)
-    has_id = F.coalesce(F.schema_of_variant(F.col("_id")) == "STRING", F.lit(False))
+    paths = {
+        f"_{group}{i}": path
+        for group, choices in (
+            ("table", TABLE_PATHS), ("id", ID_PATHS), ("fields", FIELD_PATHS), ("event", EVENT_PATHS)
+        )
+        for i, path in enumerate(choices)
+    }
+    parsed = df.withColumn("_json", F.try_parse_json(F.col(body)))
+    texts = parsed.select(
+        "*", F.substring(F.schema_of_variant("_json"), 1, 5).alias("_kind"),
+        *[F.to_json(F.try_variant_get("_json", path, "variant")).alias(c) for c, path in paths.items()],
+    ).drop("_json")
+
+    def first(group: str) -> Column:
+        return _first_set([F.col(c) for c in paths if c.startswith(f"_{group}")])
+
+    found = texts.select(
+        *df.columns, "_kind", _plain(first("table")).alias("table_name"), first("id").alias("_id"),
+        first("fields").alias("_fields"), _plain(first("event")).alias("source_event_id"),
+    ).withColumn("_entity", entity_of_table(F.col("table_name")))
     error = (
-        F.when(~is_object, F.lit("Request body must be a JSON object"))
-        .when(entity.isNull(), F.concat(
-            F.lit('Unknown or missing table name "'), F.coalesce(table, F.lit("")),
+        F.when(~F.coalesce(F.col("_kind").isin("OBJEC", "ARRAY"), F.lit(False)),
+               F.lit("Request body must be a JSON object"))
+        .when(F.col("_entity").isNull(), F.concat(
+            F.lit('Unknown or missing table name "'), F.coalesce("table_name", F.lit("")),
             F.lit('". Expected one of: Companies, Contacts, Deals, Line Items.'),
         ))
-        .when(~has_id, F.lit("Payload is missing the record id (expected `recordId`)."))
+        .when(~F.coalesce(F.col("_id").startswith('"'), F.lit(False)),
+              F.lit("Payload is missing the record id (expected `recordId`)."))
     )
-    return (
-        found.withColumn("error", error)
-        .withColumn("error_code", F.when(F.col("error").isNotNull(), F.lit(C.VALIDATION_ERROR)))
-        .withColumn("entity", F.when(F.col("error").isNull(), entity))
-        .withColumn("table_name", table)
-        .withColumn("record_id", F.when(has_id, F.try_variant_get(F.col("_id"), "$", "string")))
-        .withColumn("fields", F.when(F.schema_of_variant(F.col("_fields")).startswith("OBJECT"), F.col("_fields")))
-        .withColumn("source_event_id", F.try_variant_get(F.col("_event"), "$", "string"))
-        .drop("_json", "_table", "_id", "_fields", "_event")
+    return found.select(
+        *df.columns, "table_name", "source_event_id",
+        F.when(F.col("_id").startswith('"'), _plain(F.col("_id"))).alias("record_id"),
+        F.when(F.col("_fields").startswith("{"), F.col("_fields")).alias("fields"),
+        "_entity", error.alias("error"),
+    ).select(
+        *df.columns, F.when(F.col("error").isNull(), F.col("_entity")).alias("entity"),
+        "table_name", "record_id", "fields", "source_event_id", "error",
+        F.when(F.col("error").isNotNull(), F.lit(C.VALIDATION_ERROR)).alias("error_code"),
     )
