@@ -65,6 +65,12 @@ TRANSIENT_CODES = [
     "ECONNRESET", "ETIMEDOUT", "ECONNABORTED", "ENOTFOUND", "EAI_AGAIN", "EPIPE", "ECONNREFUSED",
 ]
 
+TARGET_REFUSED = "TARGET_REFUSED"
+SYNCED, SKIPPED, FAILED, REJECTED = "synced", "skipped", "failed", "rejected"
+CREATED, UPDATED = "created", "updated"
+BLANK_RECORD, RECORD_NOT_FOUND = "blank_record", "record_not_found"
+BY_KNOWN_ID, BY_EXTERNAL_ID, BY_NATURAL_KEY = "hubspot_record_id", "external_source_id", "natural_key"
+
 # --- fixed values: texts ------------------------------------------------------
 
 MISSING_KEY = "Missing {field}"
@@ -80,6 +86,13 @@ BAD_LIFECYCLE = 'Unrecognised lifecycle_stage "{value}", omitted'
 BAD_STAGE = 'Unrecognised deal_stage "{value}", defaulted to qualifiedtobuy'
 BAD_AMOUNT = 'Could not parse amount "{value}"'
 BAD_CLOSE_DATE = 'Could not parse close_date "{value}", omitted'
+RECORD_NO_COMPANY_NAME = "company_name is required to sync a Company"
+RECORD_BAD_EMAIL = 'A valid email is required to sync a Contact (got "{value}")'
+RECORD_NO_DEAL_NAME = "deal_name is required to sync a Deal"
+RECORD_NO_PRODUCT_NAME = "product_name is required to sync a Line Item"
+RECORD_BAD_CLOSE_DATE = "close_date could not be parsed and was omitted"
+NO_PARENT = "No linked {table} record found"
+PARENT_FAILED = "Parent record failed to sync"
 NOT_MIGRATED_FROM = "{type} record was not migrated"
 NOT_MIGRATED_TO = "{type} record {value} was not migrated"
 EDGE_LABELS = {
