@@ -41,9 +41,6 @@ def clean_lifecycle(value: Column) -> Column:
 def entity_of_table(value: Column) -> Column:
     """Entity of a table name, whatever its case, spacing and punctuation; singular or plural."""
     letters = F.regexp_replace(F.lower(value), "[^a-z]", "")
-    return (
-        F.when(letters.isin("company", "companies"), F.lit(C.COMPANY))
-        .when(letters.isin("contact", "contacts"), F.lit(C.CONTACT))
-        .when(letters.isin("deal", "deals"), F.lit(C.DEAL))
-        .when(letters.isin("lineitem", "lineitems"), F.lit(C.LINE_ITEM))
-    )
+    names = {"company": C.COMPANY, "companies": C.COMPANY, "contact": C.CONTACT, "contacts": C.CONTACT,
+             "deal": C.DEAL, "deals": C.DEAL, "lineitem": C.LINE_ITEM, "lineitems": C.LINE_ITEM}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), letters)

@@ -246,6 +246,8 @@ def _outcomes(changes: DataFrame, rows: DataFrame, resolved: DataFrame, spec: Re
 
 def sync_events(events: DataFrame, sources: dict[str, DataFrame], targets, seq: str = "seq", **options) -> SyncResult:
     """Sync of normalised events; unreadable ones become failed outcomes without an entity."""
+    # parsed once: a filter on the parse error must not parse a second time
+    events = options.get("keep", pin)(events)
     good = events.where(F.col("error").isNull()).select(
         F.col(seq).cast("bigint").alias("seq"), "entity", "record_id", "fields")
     result = sync(good, sources, targets, **options)
