@@ -179,7 +179,7 @@ def mapper(name, table, key, object_type, source, system, props, error, warnings
     return f"""m0_{table} as (select *, {p}, '{source}:{object_type}:' || {key} as p_external_source_id,
   '{system}' as p_external_source_system from {table}),
 m1_{table} as (select *, {error} as error from m0_{table}),
-m_{table} as (select *, case when error is null then list_filter([{noted}], x -> x is not null) else [] end as w from m1_{table})"""
+m_{table} as (select *, case when error is null then [x for x in [{noted}] if x is not null] else [] end as w from m1_{table})"""
 
 
 def lost(source, prop, template):

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordmill import contract as C
@@ -12,13 +12,13 @@ from recordmill.operators import mapping as Map
 from recordmill.operators import merge as M
 from recordmill.operators import report as P
 from recordmill.operators.batches import numbered_batches
-from recordmill.operators.identity import find_parents, match_external, new_id, resolve, three_tiers
+from recordmill.operators.identity import find_parents, match_external, resolve, three_tiers
 from recordmill.operators.validate import duplicates, is_blank
 from recordmill.plans import sync as S
 from recordmill.plans.migrate import migrate
 from recordmill.session import tune
 from recordmill.sources import modified_since
-from verification.inputs import CSV_IDS, RECORD_IDS, derived
+from verification.inputs import RECORD_IDS, derived
 
 SECRET = "YS10ZXN0LW1hYy1zZWNyZXQtdmFsdWU="  # base64 of a-test-mac-secret-value
 SINCE = {"deals": "1999-06-01 00:00:00", "companies": "2024-01-01 06:00:00",
@@ -31,9 +31,9 @@ def query(function):
     return function
 
 
-def expression(name: str, table: str, keys: list[str], columns: dict):
-    QUERIES[name] = lambda spark, sf: derived(tune(spark), sf, table).select(
-        *keys, *[c.alias(a) for a, c in columns.items()])
+def expression(name: str, table: str, keys: list[str], column, alias: str = "parsed"):
+    """``column`` is a function, as a column can be built only in a running session."""
+    QUERIES[name] = lambda spark, sf: derived(tune(spark), sf, table).select(*keys, column().alias(alias))
 
 
 def raw(spark, sf, table):
@@ -41,18 +41,18 @@ def raw(spark, sf, table):
 
 
 col = F.col
-expression("t1_parse_date", "csv_deals", ["deal_id", "close_date"], {"parsed": R.parse_date(col("close_date"))})
-expression("t2_parse_amount", "csv_deals", ["deal_id", "amount"], {"parsed": R.parse_amount(col("amount"))})
-expression("t3_parse_integer", "csv_companies", ["company_id"], {"parsed": R.parse_integer(col("number_of_employees"))})
-expression("t5_email", "csv_contacts", ["contact_id"], {"parsed": R.normalise_email(col("email"))})
-expression("t7_phone", "csv_contacts", ["contact_id"], {"parsed": R.clean_phone(col("phone"))})
-expression("t9_industry", "csv_companies", ["company_id"], {"parsed": R.clean_industry(col("industry"))})
-expression("t10_deal_stage", "csv_deals", ["deal_id"], {"parsed": R.clean_deal_stage(col("deal_stage"))})
-expression("t11_status_stage", "rec_deals", ["record_id"], {"parsed": R.stage_of_status(col("status"))})
-expression("t12_lifecycle", "csv_contacts", ["contact_id"], {"parsed": R.clean_lifecycle(col("lifecycle_stage"))})
-expression("t13_external_id", "csv_deals", ["deal_id"], {"parsed": R.external_id("csv", C.DEALS, col("deal_id"))})
-expression("t15_first_link", "rec_contacts", ["record_id"], {"parsed": R.first_link((col("Company"), "array"))})
-expression("t18_mac", "event_bodies", ["event_id"], {"header": R.hmac_sha256_header(col("body"), SECRET)})
+expression("t1_parse_date", "csv_deals", ["deal_id", "close_date"], lambda: R.parse_date(col("close_date")))
+expression("t2_parse_amount", "csv_deals", ["deal_id", "amount"], lambda: R.parse_amount(col("amount")))
+expression("t3_parse_integer", "csv_companies", ["company_id"], lambda: R.parse_integer(col("number_of_employees")))
+expression("t5_email", "csv_contacts", ["contact_id"], lambda: R.normalise_email(col("email")))
+expression("t7_phone", "csv_contacts", ["contact_id"], lambda: R.clean_phone(col("phone")))
+expression("t9_industry", "csv_companies", ["company_id"], lambda: R.clean_industry(col("industry")))
+expression("t10_deal_stage", "csv_deals", ["deal_id"], lambda: R.clean_deal_stage(col("deal_stage")))
+expression("t11_status_stage", "rec_deals", ["record_id"], lambda: R.stage_of_status(col("status")))
+expression("t12_lifecycle", "csv_contacts", ["contact_id"], lambda: R.clean_lifecycle(col("lifecycle_stage")))
+expression("t13_external_id", "csv_deals", ["deal_id"], lambda: R.external_id("csv", C.DEALS, col("deal_id")))
+expression("t15_first_link", "rec_contacts", ["record_id"], lambda: R.first_link((col("Company"), "array")))
+expression("t18_mac", "event_bodies", ["event_id"], lambda: R.hmac_sha256_header(col("body"), SECRET), "header")
 
 
 @query
@@ -73,17 +73,17 @@ def t6_domain(spark, sf):
 
 @query
 def t14_entity(spark, sf):
-    return S_events(spark, sf).groupBy("table_name", "entity").agg(F.count(F.lit(1)).alias("n"))
+    return normalised_events(spark, sf).groupBy("table_name", "entity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def t16_event_fields(spark, sf):
-    return S_events(spark, sf).select(
+    return normalised_events(spark, sf).select(
         "event_id", "entity", "table_name", "record_id", "source_event_id", "error_code",
         F.get_json_object("fields", "$.product_name").alias("product_name"))
 
 
-def S_events(spark, sf):
+def normalised_events(spark, sf):
     return R.event_fields(derived(spark, sf, "event_bodies"))
 
 
@@ -149,17 +149,30 @@ def csv_targets(spark, sf):
     return {t: derived(spark, sf, f"target_{t}") for t in (C.COMPANIES, C.CONTACTS, C.DEALS)}
 
 
-REFUSED = {C.COMPANIES: [(F.length("props.name") > 20, "name too long"),
-                         (col("props.industry") == "FURNITURE", "industry closed")],
-           C.DEALS: [(col("props.closedate") < "1996-01-01", "close date too old")]}
+def refused():
+    return {C.COMPANIES: [(F.length("props.name") > 20, "name too long"),
+                          (col("props.industry") == "FURNITURE", "industry closed")],
+            C.DEALS: [(col("props.closedate") < "1996-01-01", "close date too old")]}
 
 
-def dry(spark, sf, **kw):
-    return migrate(csv_sources(spark, sf), dry_run=True, **kw)
+_RUNS: dict = {}
+
+
+def once(spark, sf, name, make):
+    """One run per session and folder: its staged tables are written once and read by many queries."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _RUNS:
+        _RUNS[key] = make()
+    return _RUNS[key]
+
+
+def dry(spark, sf):
+    return once(spark, sf, "dry", lambda: migrate(csv_sources(spark, sf), dry_run=True, pinned=True))
 
 
-def real(spark, sf, **kw):
-    return migrate(csv_sources(spark, sf), csv_targets(spark, sf), constraints=REFUSED, **kw)
+def real(spark, sf):
+    return once(spark, sf, "real", lambda: migrate(
+        csv_sources(spark, sf), csv_targets(spark, sf), constraints=refused(), pinned=True))
 
 
 @query
@@ -175,7 +188,7 @@ def f3_warnings(spark, sf):
 
 @query
 def f4_orphan_reject(spark, sf):
-    rows = dry(spark, sf, import_orphans=False).rejections()
+    rows = migrate(csv_sources(spark, sf), dry_run=True, import_orphans=False, pinned=True).rejections()
     return rows.select("object_type", "failure_reason", "company_id", "contact_id", "deal_id")
 
 
@@ -190,7 +203,7 @@ def f5_blank(spark, sf):
 
 @query
 def f6_routed_counts(spark, sf):
-    return S_events(spark, sf).groupBy(
+    return normalised_events(spark, sf).groupBy(
         F.coalesce("entity", F.lit("dead letter")).alias("route"), "error_code").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -271,10 +284,6 @@ def with_parent(spark, sf, child: str, parent: str, entity: str) -> DataFrame:
     return find_parents(rows, parents, S.link_of(rows, spec), col(spec.business_key), spec.business_key)
 
 
-def deals_with_key(spark, sf) -> DataFrame:
-    return derived(spark, sf, "rec_deals")
-
-
 @query
 def j8_parent(spark, sf):
     return with_parent(spark, sf, "rec_contacts", "rec_companies", C.CONTACT).select(
@@ -283,7 +292,7 @@ def j8_parent(spark, sf):
 
 @query
 def j9_reread(spark, sf):
-    events = S_events(spark, sf).where(col("error").isNull() & (col("entity") == C.COMPANY))
+    events = normalised_events(spark, sf).where(col("error").isNull() & (col("entity") == C.COMPANY))
     now = derived(spark, sf, "rec_companies").select("record_id", col("company_name").alias("now_name"), F.lit(True).alias("found"))
     joined = events.join(now, "record_id", "left")
     return joined.select(
@@ -392,9 +401,7 @@ def s2_modified_uncapped(spark, sf):
     return modified_since(derived(spark, sf, "rec_lines"), SINCE["lines"], limit=None).select("record_id", "quantity")
 
 
-# --- change sync: one run per session and folder, read by several queries -------------
-
-_RUNS: dict = {}
+# --- change sync ---------------------------------------------------------------------
 
 
 def record_tables(spark, sf):
@@ -408,12 +415,11 @@ def record_targets(spark, sf):
 
 
 def event_run(spark: SparkSession, sf: str) -> S.SyncResult:
-    key = (spark.sparkContext.applicationId, sf, "events")
-    if key not in _RUNS:
-        result = S.sync_events(S_events(spark, sf), record_tables(spark, sf), record_targets(spark, sf), seq="event_id")
+    def make():
+        result = S.sync_events(normalised_events(spark, sf), record_tables(spark, sf), record_targets(spark, sf), seq="event_id")
         result.outcomes = S.pin(result.outcomes)
-        _RUNS[key] = result
-    return _RUNS[key]
+        return result
+    return once(spark, sf, "events", make)
 
 
 @query
