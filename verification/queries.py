@@ -271,7 +271,7 @@ def j6_tiers(spark, sf):
     parts = []
     for name, mapper, natural, t in (("rec_companies", Map.map_company_record, "domain", C.COMPANIES),
                                      ("rec_contacts", Map.map_contact_record, "email", C.CONTACTS)):
-        rows = identities(spark, sf, name, mapper, natural, t)
+        rows = S.pin(identities(spark, sf, name, mapper, natural, t))
         target = derived(spark, sf, f"target_{t}", RECORD_IDS)
         parts.append(three_tiers(rows, target, natural).select("record_id", "existing_id", "matched_by"))
     return parts[0].unionByName(parts[1])
@@ -318,9 +318,11 @@ def j12_closure(spark, sf):
 
 
 def company_changes(spark, sf):
-    rows = identities(spark, sf, "rec_companies", Map.map_company_record, "domain", C.COMPANIES)
-    target = derived(spark, sf, "target_companies", RECORD_IDS)
-    return resolve(rows, target, "domain", "0"), target
+    def make():
+        rows = S.pin(identities(spark, sf, "rec_companies", Map.map_company_record, "domain", C.COMPANIES))
+        target = S.pin(derived(spark, sf, "target_companies", RECORD_IDS))
+        return S.pin(resolve(rows, target, "domain", "0")), target
+    return once(spark, sf, "company changes", make)
 
 
 @query
@@ -334,13 +336,13 @@ def m1_replay(spark, sf):
     """Merging the same changes into the merged target again: what differs (nothing) and how much there is."""
     rows, target = company_changes(spark, sf)
     changes = M.fold_changes(rows, C.COMPANIES)
-    once = S.pin(M.merge(target, changes, C.COMPANIES).drop("action"))
-    again = resolve(rows.drop("target_id", "action", "matched_by"), once, "domain", "1")
-    twice = M.merge(once, M.fold_changes(again, C.COMPANIES), C.COMPANIES)
-    before = once.select("id", F.xxhash64(*once.columns).alias("was"))
+    merged = S.pin(M.merge(target, changes, C.COMPANIES).drop("action"))
+    again = S.pin(resolve(rows.drop("target_id", "action", "matched_by"), merged, "domain", "1"))
+    twice = M.merge(merged, M.fold_changes(again, C.COMPANIES), C.COMPANIES)
+    before = merged.select("id", F.xxhash64(*merged.columns).alias("was"))
     return twice.join(before, "id", "full").agg(
         F.count(F.lit(1)).alias("records"), F.count_if(col("action") == C.CREATED).alias("created"),
-        F.count_if(col("was").isNull() | (F.xxhash64(*[col(c) for c in once.columns]) != col("was"))).alias("changed"))
+        F.count_if(col("was").isNull() | (F.xxhash64(*[col(c) for c in merged.columns]) != col("was"))).alias("changed"))
 
 
 @query
