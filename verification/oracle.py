@@ -381,13 +381,14 @@ cast(0 as bigint) as created, cast(0 as bigint) as changed"""
 SQL["k4_writeback"] = CHANGED + " select record_id, target_id from c1 where coalesce(hubspot_record_id, '') <> target_id"
 
 
-def parent(child, parent_table, link, key):
-    return f"""{cte(child)}, {cte(parent_table)},
-pk as (select {key} as k, arg_min(record_id, record_id) as record_id, arg_min(coalesce(nullif(hubspot_record_id, ''), '-'), record_id) as known
+def parent(child, parent_table, link, key, n="", declare=True):
+    declared = f"{cte(child)}, {cte(parent_table)}," if declare else ""
+    return f"""{declared}
+pk{n} as (select {key} as k, arg_min(record_id, record_id) as record_id, arg_min(coalesce(nullif(hubspot_record_id, ''), '-'), record_id) as known
   from {parent_table} where {given(key)} group by 1),
-par as (select c.*, coalesce(a.record_id, b.record_id) as parent_record,
+par{n} as (select c.*, coalesce(a.record_id, b.record_id) as parent_record,
   case when a.record_id is not null then nullif(a.hubspot_record_id, '') else nullif(b.known, '-') end as parent_known_id
-from {child} c left join {parent_table} a on a.record_id = c.{link}[1] left join pk b on a.record_id is null and b.k = nullif(c.{key}, ''))"""
+from {child} c left join {parent_table} a on a.record_id = c.{link}[1] left join pk{n} b on a.record_id is null and b.k = nullif(c.{key}, ''))"""
 
 
 SQL["j8_parent"] = f"with {parent('rec_contacts', 'rec_companies', 'Company', 'company_id')} select record_id, parent_record, parent_known_id from par"
@@ -399,3 +400,47 @@ SQL["j9_reread"] = f"""with {EVENTS}, {cte('rec_companies')}
 select e.event_id, e.record_id, case when r.record_id is not null then 'current' when e.fields is not null then 'payload' else 'record_not_found' end as origin,
 case when r.record_id is not null then r.company_name else e.fields ->> '$.company_name' end as company_name
 from ev e left join rec_companies r on r.record_id = e.record_id where e.entity = 'company'"""
+
+
+# --- change sync: outcomes -----------------------------------------------------------------------
+NEW = "substr(sha256(p_external_source_id), 1, 32)"
+LINE_EVENTS = """xl as (select event_id, record_id, fields ->> '$.product_name' as product_name,
+  'D-' || substr(record_id, 5) as deal_id, list_value()::varchar[] as Deal from ev where entity = 'line_item')"""
+STATE = f"""{cte('rec_companies')}, {cte('rec_contacts')}, {cte('rec_deals')}, {cte('rec_lines')},
+{cte('target_companies', RECORD_IDS)}, {cte('target_deals', RECORD_IDS)}, {tiers('companies', 'rec_companies', 'domain')},
+run_c as (select record_id, coalesce(existing_id, {NEW}) as run_id from t_companies),
+{M['rec_contacts']}, {M['rec_deals']}, {M['rec_lines']},
+byx_deals as (select external_source_id as k, min(id) as id from target_deals group by 1),
+run_d as (select m.record_id, coalesce(a.id, b.id, {NEW}) as run_id from m_rec_deals m
+  left join target_deals a on a.id = nullif(m.hubspot_record_id, '') left join byx_deals b on b.k = m.p_external_source_id
+  where m.error is null),
+{parent('m_rec_contacts', 'rec_companies', 'Company', 'company_id', '_c', False)},
+{parent('m_rec_deals', 'rec_companies', 'Company', 'company_id', '_d', False)},
+{parent('m_rec_lines', 'rec_deals', 'Deal', 'deal_id', '_l', False)},
+st as (
+select 'company' as entity, record_id, case when concat(company_id, company_name, domain, industry, number_of_employees) = '' then 'skipped'
+  when error is not null then 'failed' else 'synced' end as status, case when company_id <> '' and error is not null then 'VALIDATION_ERROR' end as code,
+  null as parent_id from m_rec_companies
+union all select 'contact', p.record_id, case when error is null then 'synced' else 'failed' end, case when error is not null then 'VALIDATION_ERROR' end,
+  case when error is null then coalesce(parent_known_id, r.run_id) end from par_c p left join run_c r on r.record_id = p.parent_record
+union all select 'deal', p.record_id, case when error is null then 'synced' else 'failed' end, case when error is not null then 'VALIDATION_ERROR' end,
+  case when error is null then coalesce(parent_known_id, r.run_id) end from par_d p left join run_c r on r.record_id = p.parent_record
+union all select 'line_item', p.record_id, case when error is null and coalesce(parent_known_id, r.run_id) is not null then 'synced' else 'failed' end,
+  case when error is not null then 'VALIDATION_ERROR' when coalesce(parent_known_id, r.run_id) is null then 'MISSING_REFERENCE' end,
+  case when error is null then coalesce(parent_known_id, r.run_id) end from par_l p left join run_d r on r.record_id = p.parent_record)"""
+OUTCOMES = f"""with {EVENTS}, {STATE}, {LINE_EVENTS}, {parent('xl', 'rec_deals', 'Deal', 'deal_id', '_x', False)},
+xo as (select event_id, coalesce(parent_known_id, r.run_id) as parent_id from par_x p left join run_d r on r.record_id = p.parent_record),
+outc as (select e.event_id, e.entity, e.record_id,
+  case when e.error_code is not null then 'failed' when s.status is not null then s.status
+    when e.entity = 'line_item' then case when x.parent_id is not null then 'synced' else 'failed' end
+    when e.fields is null then 'skipped' end as status,
+  coalesce(e.error_code, s.code, case when e.entity = 'line_item' and x.parent_id is null then 'MISSING_REFERENCE' end) as code,
+  coalesce(s.parent_id, x.parent_id) as parent_id
+from ev e left join st s on s.entity = e.entity and s.record_id = e.record_id left join xo x on x.event_id = e.event_id)"""
+SQL["e2_event_sync"] = OUTCOMES + " select * from outc"
+SQL["a4_rescan_summary"] = OUTCOMES + """ select count(*) as scanned, count(*) filter (status = 'synced') as synced,
+count(*) filter (status = 'skipped') as skipped, count(*) filter (status = 'failed') as failed from outc"""
+SQL["a9_signals"] = OUTCOMES + """ select entity, count(*) as events, count(*) filter (code <> 'VALIDATION_ERROR') as faults,
+count(*) filter (code = 'VALIDATION_ERROR') as bad_data,
+count(*) filter (status = 'synced' and entity <> 'company' and parent_id is null) as unresolved_parents from outc group by 1"""
+SQL["e3_rescan"] = f"with {STATE} select entity, status, code, count(*) as n, count(parent_id) as with_parent from st group by 1, 2, 3"

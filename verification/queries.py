@@ -427,7 +427,13 @@ def event_run(spark: SparkSession, sf: str) -> S.SyncResult:
 @query
 def e2_event_sync(spark, sf):
     return event_run(spark, sf).outcomes.select(
-        col("seq").alias("event_id"), "entity", "record_id", "status", "code", "target_id", "matched_by", "parent_id")
+        col("seq").alias("event_id"), "entity", "record_id", "status", "code", "parent_id")
+
+
+@query
+def e2_event_matches(spark, sf):
+    return event_run(spark, sf).outcomes.where(col("status") == C.SYNCED).select(
+        col("seq").alias("event_id"), "target_id", "action", "matched_by")
 
 
 @query
