@@ -133,6 +133,7 @@ class SyncResult:
     edges: DataFrame
 
     def merged(self, object_type: str, how: str = "full") -> DataFrame:
+        """The target after the sync; ``how="right"`` gives the touched records only. Types of this run only."""
         return M.merge(self.targets[object_type], self.changes[object_type], object_type, how)
 
     def write_backs(self, object_type: str) -> DataFrame:
@@ -157,13 +158,14 @@ def sync(
     """
     target_of = targets if callable(targets) else lambda object_type, rows: targets[object_type]
     changes = keep(changes)
-    work = {e: work_rows(changes, sources[e], SPECS[e]) for e in C.ENTITIES}
+    active = _active(changes)
+    work = {e: work_rows(changes, sources[e], SPECS[e]) for e in active}
 
     # children first: which unsynced parents do they pull in?
-    for entity in reversed(C.ENTITIES):
+    for entity in reversed(active):
         spec = SPECS[entity]
         work[entity] = keep(work[entity])
-        children = [work[s.entity] for s in RECORD_SPECS if s.parent == entity]
+        children = [work[s.entity] for s in RECORD_SPECS if s.parent == entity and s.entity in active]
         if children:
             work[entity] = keep(_pulled(children, work[entity], sources[entity], spec))
         if spec.parent:
@@ -175,7 +177,7 @@ def sync(
     seen: dict[str, DataFrame] = {}
     ids: dict[str, DataFrame] = {}
     outcomes, edges = [], []
-    for entity in C.ENTITIES:
+    for entity in active:
         spec, object_type = SPECS[entity], C.OBJECT_TYPE_OF[entity]
         rows = work[entity]
         if spec.parent:
@@ -219,12 +221,24 @@ def sync(
             edges.append(mine.where(F.col("parent_id").isNotNull()).select(*E.edge(
                 object_type, F.col("target_id"), C.OBJECT_TYPE_OF[spec.parent], F.col("parent_id"))))
         outcomes.append(_outcomes(changes, rows, resolved, spec))
+    no_edge = changes.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in E.EDGE))
     return SyncResult(
         reduce(DataFrame.unionByName, outcomes), written, changed, seen,
-        reduce(DataFrame.unionByName, edges).distinct(),
+        reduce(DataFrame.unionByName, edges).distinct() if edges else no_edge,
     )
 
 
+def _active(changes: DataFrame) -> list[str]:
+    """Entities with changes and the parents those may pull in, parents first; companies at least."""
+    present = {r.entity for r in changes.select("entity").distinct().collect()}  # four values at most
+    active = {C.COMPANY}
+    for entity in present & set(C.ENTITIES):
+        while entity:
+            active.add(entity)
+            entity = SPECS[entity].parent
+    return [e for e in C.ENTITIES if e in active]
+
+
 def _outcomes(changes: DataFrame, rows: DataFrame, resolved: DataFrame, spec: RecordSpec) -> DataFrame:
     """One row per change: what became of it."""
     done = rows.where("asked").join(resolved.drop("known_id"), "record_id", "left")

@@ -82,6 +82,8 @@ class SyncLog:
 
     def append(self, batch: int, result: SyncResult) -> None:
         for entity, object_type in C.OBJECT_TYPE_OF.items():
+            if object_type not in result.changes:
+                continue
             touched = result.merged(object_type, how="right").drop("action")
             self._write(f"targets/{object_type}", batch, touched)
             self._write(f"write_backs/{entity}", batch, result.write_backs(object_type))
