@@ -25,7 +25,7 @@ PLAIN_BYTES = 64 << 20
 def estimated_bytes(df: DataFrame) -> float:
     """Spark's own size estimate of a frame; unknown counts as large."""
     try:
-        return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except AttributeError:
         return float("inf")
 

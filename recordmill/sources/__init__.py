@@ -2,3 +2,4 @@
 
 from recordmill.sources.csv import read_csv  # noqa: F401
 from recordmill.sources.records import modified_since  # noqa: F401
+from recordmill.sources.tables import read_table  # noqa: F401

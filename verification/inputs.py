@@ -6,6 +6,8 @@ that differ. Every source row gives one derived row: nothing is left out.
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recordmill.sources.tables import read_table
+
 DIALECT = {
     "spark": {
         "ts": "TIMESTAMP_NTZ",
@@ -205,7 +207,7 @@ def select_list(name: str, dialect: str, ids: dict[str, str]) -> str:
 
 def derived(spark: SparkSession, sf_dir: str, name: str, ids: dict[str, str] = CSV_IDS) -> DataFrame:
     """A derived table in Spark."""
-    table = spark.read.parquet(f"{sf_dir}/{INPUTS[name][0]}.parquet")
+    table = read_table(spark, f"{sf_dir}/{INPUTS[name][0]}.parquet")
     table.createOrReplaceTempView("_derived_from")
     return spark.sql(f"select {select_list(name, 'spark', ids)} from _derived_from")
 
