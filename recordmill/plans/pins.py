@@ -7,12 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor sees, as the cluster names it; an own one only where none is named."""
+    """Folder every executor sees: ``spark.checkpoint.dir``, or the checkpoint folder of the session.
+
+    Where neither is set, a local session (one machine, as in tests) gets a folder of its own;
+    on a cluster that would scatter the rows over the machines' disks, so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="recordmill-")
         spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")
+
+
+def fresh_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark)}/recordmill/{uuid.uuid4().hex}"
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -21,6 +33,6 @@ def pin(df: DataFrame) -> DataFrame:
     A table and not a cached frame: it outlives lost executors, and readers
     fetch only the columns they use.
     """
-    path = f"{shared_folder(df.sparkSession)}/recordmill/{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
