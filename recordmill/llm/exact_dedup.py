@@ -58,8 +58,9 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 F.coalesce("fixes", F.array().cast("array<struct<pos:bigint,rank:bigint>>")),
                 lambda x: F.array(x["pos"], x["rank"])))))
         recipes = pin(recipes)
-    best = recipes.groupBy("recipe").agg(
-        F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # written first, so that the join below deals both sides anew and splits the rows of a large group
+    best = pin(recipes.groupBy("recipe").agg(
+        F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size")))
     return recipes.join(best.withColumnRenamed("recipe", "group"), F.col("recipe") == F.col("group")).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")

@@ -4,8 +4,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recordmill.llm.decontaminate import contaminated
 from recordmill.llm.exact_dedup import exact_groups
+from recordmill.llm.packing import packed
 from recordmill.llm.simhash import near_duplicates
+from recordmill.llm.toxicity import toxicity
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -18,12 +21,30 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(_table(spark, folder, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(_table(spark, folder, "documents"), tokenizer_path())
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op4_exact_dedup)
+    f.__name__: f for f in (op1_simhash, op2_decontaminate, op4_exact_dedup, op5_packing, op7_toxicity)
 }
 
 #: For DuckDB. The other operators are compared with brute force in tests/llm.

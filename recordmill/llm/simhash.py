@@ -200,6 +200,6 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rooted = nodes.join(members, F.col("fp") == F.col("node"), "left").select(
         F.col("fp").alias("print"), "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("print", "component_id")
+    classes = pin(rooted.join(smallest, "root").select("print", "component_id"))
     return prints.join(classes, F.col("fp") == F.col("print"), "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
