@@ -9,6 +9,7 @@ from recordmill.llm.exact_dedup import exact_groups
 from recordmill.llm.packing import packed
 from recordmill.llm.simhash import near_duplicates
 from recordmill.llm.toxicity import toxicity
+from recordmill.llm.warc import archived
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,12 +40,16 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(_table(spark, folder, "documents"), tokenizer_path())
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archived(_table(spark, folder, "pages")).drop("payload")
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_decontaminate, op4_exact_dedup, op5_packing, op7_toxicity)
+    f.__name__: f for f in (op1_simhash, op2_decontaminate, op4_exact_dedup, op5_packing, op6_warc, op7_toxicity)
 }
 
 #: For DuckDB. The other operators are compared with brute force in tests/llm.
