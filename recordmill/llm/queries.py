@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recordmill.llm.decontaminate import contaminated
 from recordmill.llm.exact_dedup import exact_groups
+from recordmill.llm.language_model import scored
 from recordmill.llm.packing import packed
 from recordmill.llm.simhash import near_duplicates
 from recordmill.llm.toxicity import toxicity
@@ -48,8 +49,12 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return scored(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_decontaminate, op4_exact_dedup, op5_packing, op6_warc, op7_toxicity)
+    f.__name__: f for f in (op1_simhash, op2_decontaminate, op4_exact_dedup, op5_packing, op6_warc, op7_toxicity, op9_lm_scoring)
 }
 
 #: For DuckDB. The other operators are compared with brute force in tests/llm.
