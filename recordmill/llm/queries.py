@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from recordmill.llm.decontaminate import contaminated
 from recordmill.llm.exact_dedup import exact_groups
 from recordmill.llm.language_model import scored
+from recordmill.llm.licence_scan import licence_scan
 from recordmill.llm.packing import packed
+from recordmill.llm.personal_data import personal_data
 from recordmill.llm.simhash import near_duplicates
 from recordmill.llm.toxicity import toxicity
+from recordmill.llm.url_filter import judged
 from recordmill.llm.warc import archived
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,6 +30,10 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op3_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licence_scan(_table(spark, folder, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(_table(spark, folder, "documents"))
 
@@ -49,12 +56,22 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data(_table(spark, folder, "documents"))
+
+
 def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return scored(_table(spark, folder, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return judged(_table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_decontaminate, op4_exact_dedup, op5_packing, op6_warc, op7_toxicity, op9_lm_scoring)
+    f.__name__: f
+    for f in (op1_simhash, op2_decontaminate, op3_licences, op4_exact_dedup, op5_packing, op6_warc, op7_toxicity,
+              op8_personal_data, op9_lm_scoring, op10_url_filter)
 }
 
 #: For DuckDB. The other operators are compared with brute force in tests/llm.
