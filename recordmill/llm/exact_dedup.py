@@ -1,7 +1,7 @@
 """Exact duplicates by content-defined chunks, in DataFrame functions only.
 
-A text (A-Z lower-cased) is cut where its content says so: at the first vowel, white
-space, letter b to t after ``CHUNK_MIN`` characters. Each chunk is hashed; the distinct
+A text (A-Z lower-cased) is cut where its content says so: after ``CHUNK_MIN`` characters, behind
+the first word of a form that about one word in a hundred has. Each chunk is hashed; the distinct
 chunks of all texts are compared as text, once, so an identifier that two different
 chunks share is known. A document is then its ordered list of verified identifiers, and
 documents are grouped by equal lists; their texts do not move again.
@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from recordmill.llm.text import ascii_lower
 from recordmill.plans.pins import pin
 
-CHUNK_MIN, CHUNK_MAX = 1024, 8192
+CHUNK_MIN, CHUNK_MAX = 256, 8192
+LAST_WORD = r"\s[a-c]\S[aeiou]\S*[n-s]\s"
 
 
 def chunks(text: Column, least: int = CHUNK_MIN, most: int = CHUNK_MAX) -> Column:
     """The text in pieces whose ends depend on nothing but the characters since the last end."""
-    pattern = rf"(?s).{{{least},{most}}}?[aeiou]\s[b-t]|.{{1,{most}}}"
+    pattern = rf"(?s).{{{least},{most}}}?{LAST_WORD}|.{{1,{most}}}"
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
