@@ -247,7 +247,7 @@ def examples(text: str) -> list[tuple[str, list[Span]]]:
 
 
 def train(islands_with_spans: list[tuple[str, list[Span]]], epochs: int = EPOCHS) -> Field:
-    """Weights by stochastic gradient on log-likelihood; islands whose entities are not whole units are left out."""
+    """Weights by stochastic gradient on log-likelihood; islands with an entity that is no candidate are left out."""
     model, data = Field(), []
     for text, spans in islands_with_spans:
         units = [m.span() for m in UNIT.finditer(text)]
@@ -256,7 +256,8 @@ def train(islands_with_spans: list[tuple[str, list[Span]]], epochs: int = EPOCHS
         if any(i is None or j is None or j - i > LONGEST for i, j, _ in gold) or not 0 < len(units) <= 80:
             continue
         segments, rows = candidates(text, units)
-        data.append((len(units), segments, rows, gold))
+        if {(i, j) for i, j, _ in gold} <= set(segments):
+            data.append((len(units), segments, rows, gold))
     seen, seen_moves = np.full_like(model.weights, 0.1), np.full(2, 0.1)
     rng = np.random.default_rng(5)
     for epoch in range(epochs):
