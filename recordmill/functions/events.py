@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from recordmill import contract as C
 from recordmill.functions.categories import entity_of_table
+from recordmill.functions.text import message
 
 TABLE_PATHS = ["$.table", "$.table_name", "$.tableName", "$.record.table"]
 ID_PATHS = ["$.recordId", "$.record_id", "$.id", "$.record.id", "$.record.recordId"]
@@ -57,10 +58,7 @@ def event_fields(df: DataFrame, body: str = "body") -> DataFrame:
     error = (
         F.when(~F.coalesce(F.col("_kind").isin("OBJEC", "ARRAY"), F.lit(False)),
                F.lit("Request body must be a JSON object"))
-        .when(F.col("_entity").isNull(), F.concat(
-            F.lit('Unknown or missing table name "'), F.coalesce("table_name", F.lit("")),
-            F.lit('". Expected one of: Companies, Contacts, Deals, Line Items.'),
-        ))
+        .when(F.col("_entity").isNull(), message(C.UNKNOWN_TABLE, F.col("table_name")))
         .when(~F.coalesce(F.col("_id").startswith('"'), F.lit(False)),
               F.lit("Payload is missing the record id (expected `recordId`)."))
     )

@@ -65,7 +65,7 @@ def resolve(rows: DataFrame, target: DataFrame, natural: str | None, salt: str =
         "_own", F.when(F.col("_taken").isNull(), own).otherwise(new_id(F.col("external_id"), f"@{salt}"))
     )
     if natural:
-        leaders = first_by(checked.where(is_open), F.col("natural_key"), "seq", ["external_id", "_own"])
+        leaders = first_by(checked.where(is_open), F.col("natural_key"), ["seq", "record_id"], ["external_id", "_own"])
         led = lookup(checked, leaders, F.when(is_open, F.col("natural_key")), "first_key",
                      {"_leader": "external_id", "_led": "_own"}, ["record_id"],
                      (rows, F.col("natural_key")))

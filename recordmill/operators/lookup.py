@@ -10,8 +10,8 @@ key to one task too. Here
 The table of hot keys is broadcast. Its size is bounded by construction: it has
 at most ``rows / rows_per_task`` entries of one key and one number each.
 
-Children that Spark estimates at ``PLAIN_BYTES`` or less cannot overload a task
-whatever their keys, so they take the plain join and save the counting pass.
+There is one path for all sizes. ``spark.recordmill.rowsPerTask`` in the session sets
+how many rows of one key a task may get.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -19,15 +19,10 @@ from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 2_000_000
 NULL_SPREAD = 1 << 16
-PLAIN_BYTES = 64 << 20
 
 
-def estimated_bytes(df: DataFrame) -> float:
-    """Spark's own size estimate of a frame; unknown counts as large."""
-    try:
-        return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return float("inf")
+def rows_per_task_of(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.recordmill.rowsPerTask", str(ROWS_PER_TASK)))
 
 
 def hot_keys(rows: DataFrame, key: Column, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -50,8 +45,7 @@ def lookup(
     take: dict[str, str],
     spread: list[str],
     counted: tuple[DataFrame, Column] | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
-    plain_bytes: int = PLAIN_BYTES,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """``children`` plus the columns ``take`` (new name -> parent column), null where not found.
 
@@ -64,12 +58,8 @@ def lookup(
     wanted = parents.select(
         F.col(parent_key).alias("_parent_key"), *[F.col(c).alias(name) for name, c in take.items()]
     ).where(F.col("_parent_key").isNotNull())
-    if estimated_bytes(counted) <= plain_bytes:
-        return children.withColumn("_key", key).join(
-            wanted, F.col("_key") == F.col("_parent_key"), "left"
-        ).drop("_key", "_parent_key")
-
-    hot = F.broadcast(hot_keys(counted, counted_key, rows_per_task))
+    # at most rows / rows_per_task entries
+    hot = F.broadcast(hot_keys(counted, counted_key, rows_per_task or rows_per_task_of(children)))
     own = F.xxhash64(*spread)
     salted = children.withColumn("_key", key).join(hot, F.col("_key") == hot["_hot"], "left").withColumn(
         "_salt",
@@ -88,13 +78,13 @@ def lookup(
     ).drop("_key", "_salt", "_parent_key", "_parent_salt")
 
 
-def first_by(rows: DataFrame, key: Column, order: str, keep: list[str]) -> DataFrame:
-    """One row per key, the one lowest in ``order``, as ``(first_key, *keep)``.
+def first_by(rows: DataFrame, key: Column, order: str | list[str], keep: list[str]) -> DataFrame:
+    """One row per key, the one lowest in ``order`` (columns that leave no ties), as ``(first_key, *keep)``.
 
     An aggregate and not a window: copies of a hot key are combined before the shuffle.
     """
     return (
-        rows.select(key.alias("first_key"), F.col(order).alias("_order"),
+        rows.select(key.alias("first_key"), F.struct(*([order] if isinstance(order, str) else order)).alias("_order"),
                     F.struct(*keep).alias("_kept"))
         .where(F.col("first_key").isNotNull())
         .groupBy("first_key")

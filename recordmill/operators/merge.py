@@ -10,15 +10,16 @@ def target_columns(object_type: str) -> list[str]:
     return ["id", *C.PROPERTIES[object_type], *C.STAMPS]
 
 
-def fold_changes(rows: DataFrame, object_type: str, seq: str = "seq") -> DataFrame:
-    """One change per target record: of each property the last value given, in ``seq``.
+def fold_changes(rows: DataFrame, object_type: str, order: tuple[str, ...] = ("seq", "record_id")) -> DataFrame:
+    """One change per target record: of each property the last value given, in ``order``.
 
-    Expects ``target_id`` and ``props``. An aggregate, so that a record with very
+    ``order`` names columns that leave no ties, so that a retry gives the same. Expects
+    ``target_id`` and ``props``. An aggregate, so that a record with very
     many changes is combined before the shuffle.
     """
     names = [*C.PROPERTIES[object_type], *C.STAMPS]
     last = [
-        F.max_by(f"props.{name}", F.when(F.col(f"props.{name}").isNotNull(), F.col(seq))).alias(name)
+        F.max_by(f"props.{name}", F.when(F.col(f"props.{name}").isNotNull(), F.struct(*order))).alias(name)
         for name in names
     ]
     return rows.groupBy(F.col("target_id").alias("id")).agg(*last)

@@ -121,7 +121,7 @@ class Migration:
         parts = [
             frame.where(F.col("status") == status).select(
                 F.lit(t).alias("object_type"), F.col("reason").alias("failure_reason"),
-                *self.specs[t].columns,
+                *self.specs[t].columns, F.lit(self.run_id).alias("run_id"),
             )
             for t, frame in self.staged.items()
         ]
@@ -136,7 +136,8 @@ class Migration:
     def warnings(self) -> DataFrame:
         parts = [
             frame.where(F.size("warnings") > 0).select(
-                F.lit(t).alias("object_type"), "source_id", F.explode("warnings").alias("message"))
+                F.lit(t).alias("object_type"), "source_id", F.explode("warnings").alias("message"),
+                F.lit(self.run_id).alias("run_id"))
             for t, frame in self.staged.items()
         ]
         return reduce(DataFrame.unionByName, parts)
@@ -153,15 +154,18 @@ class Migration:
 
     def missing_associations(self) -> DataFrame:
         return self.references().where(F.col("reason").isNotNull()).select(
-            "label", "from_key", "to_key", "reason")
+            "label", "from_key", "to_key", "reason", F.lit(self.run_id).alias("run_id"))
 
-    def changes(self, object_type: str, ordinal: str | None = None) -> DataFrame:
-        """Property changes per target record; of rows with one source id the last counts."""
+    def changes(self, object_type: str, ordinal: str) -> DataFrame:
+        """Property changes per target record; of rows with one source id the last in ``ordinal`` counts.
+
+        ``ordinal`` names a column of the source that gives its order, such as the one ``read_csv`` adds.
+        """
         frame = self.staged[object_type].where(F.col("status").isin(C.CREATED, C.UPDATED))
-        return M.fold_changes(frame.withColumn("seq", F.col(ordinal or "source_id")), object_type)
+        return M.fold_changes(frame, object_type, (ordinal, "source_id"))
 
-    def merged(self, object_type: str, target: DataFrame) -> DataFrame:
-        return M.merge(target, self.changes(object_type), object_type)
+    def merged(self, object_type: str, target: DataFrame, ordinal: str) -> DataFrame:
+        return M.merge(target, self.changes(object_type, ordinal), object_type)
 
 
 def migrate(
@@ -171,12 +175,12 @@ def migrate(
     dry_run: bool = False,
     constraints: Constraints | None = None,
     run_id: str = "run",
-    pinned: bool = False,
+    pinned: bool = True,
 ) -> Migration:
     """Stages the entities of ``sources`` (object type -> rows).
 
-    ``pinned`` writes each staged frame once to the shared folder; a run whose
-    results are read more than once wants that.
+    ``pinned`` writes each staged frame once to the shared folder, as later entities and
+    every report read it; without it they run its plan again.
     """
     staged: dict[str, DataFrame] = {}
     maps: dict[str, DataFrame] = {}

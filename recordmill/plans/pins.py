@@ -2,10 +2,16 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scope: ContextVar[list[str] | None] = ContextVar("pins", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor sees: ``spark.checkpoint.dir``, or the checkpoint folder of the session.
 
@@ -34,5 +40,22 @@ def pin(df: DataFrame) -> DataFrame:
     fetch only the columns they use.
     """
     path = fresh_path(df.sparkSession)
+    if (made := _scope.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing_pins(spark: SparkSession) -> Iterator[None]:
+    """What is pinned inside is deleted at the end, when its last reader is done; for micro-batches."""
+    made: list[str] = []
+    token = _scope.set(made)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in made:
+            place = hadoop(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordmill import contract as C
-from recordmill.functions import first_link
+from recordmill.functions import first_link, message
 from recordmill.operators import edges as E
 from recordmill.operators import merge as M
 from recordmill.operators.identity import find_parents, resolve
@@ -24,6 +24,8 @@ from recordmill.operators.validate import first_broken, is_blank
 from recordmill.plans.pins import pin
 from recordmill.sources.records import modified_since
 
+#: No retry changes these.
+PERMANENT_CODES = (C.VALIDATION_ERROR, C.MISSING_REFERENCE)
 SPECS = {s.entity: s for s in RECORD_SPECS}
 Targets = Callable[[str, DataFrame], DataFrame]
 
@@ -77,7 +79,9 @@ def work_rows(changes: DataFrame, source: DataFrame, spec: RecordSpec) -> DataFr
     current = relevant(now, "record_id", asked.select("record_id")).join(asked, "record_id").withColumn(
         "work_key", F.col("record_id")
     ).withColumn("in_source", F.lit(True))
-    gone = mine.join(current.select("record_id"), "record_id", "left_anti")
+    # a record with very many changes is split among tasks
+    gone = lookup(mine, current.select(F.col("record_id").alias("_id")), F.col("record_id"), "_id", {"_now": "_id"},
+                  ["seq"]).where(F.col("_now").isNull()).drop("_now")
     payload = payload_records(gone.where(F.col("fields").isNotNull()), spec, now).withColumn(
         "work_key", F.concat_ws("#", "record_id", F.lpad(F.col("seq").cast("string"), 20, "0"))
     ).withColumn("in_source", F.lit(False))
@@ -126,7 +130,9 @@ def _with_parents(work: DataFrame, parents: DataFrame, spec: RecordSpec) -> Data
 
 @dataclass
 class SyncResult:
-    outcomes: DataFrame  # seq, entity, record_id, status, reason, code, target_id, action, matched_by, parent_missing
+    #: seq, entity, record_id, status, reason, code, target_id, action, matched_by, parent_id, parent_missing,
+    #: permanent, run_id
+    outcomes: DataFrame
     written: dict[str, DataFrame]  # per object type: resolved rows that are written
     changes: dict[str, DataFrame]  # per object type: folded properties per target record
     targets: dict[str, DataFrame]  # per object type: the target records looked at
@@ -210,9 +216,12 @@ def sync(
              if natural else F.lit(None).cast("string")).alias("natural_key"),
         ).withColumn("known_id", F.nullif("known_id", F.lit("")))
         target = target_of(object_type, identities)
+        if callable(targets):  # a part of a log, which the steps below would each filter again
+            target = keep(target)
         resolved = keep(resolve(identities, target, natural, batch).select(
             "record_id", "known_id", "target_id", "action", "matched_by"))
-        mine = good.join(resolved, "record_id")
+        mine = lookup(good.drop("known_id", "target_id"), resolved.withColumnRenamed("record_id", "_id"), F.col("record_id"),
+                      "_id", {c: c for c in ("known_id", "target_id", "action", "matched_by")}, ["work_key"])
         written[object_type] = mine
         seen[object_type] = target
         changed[object_type] = M.fold_changes(mine, object_type)
@@ -223,16 +232,32 @@ def sync(
         outcomes.append(_outcomes(changes, rows, resolved, spec))
     no_edge = changes.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in E.EDGE))
     return SyncResult(
-        reduce(DataFrame.unionByName, outcomes), written, changed, seen,
+        reduce(DataFrame.unionByName, [*outcomes, _unknown(changes)]).withColumns({
+            "permanent": _permanent(F.col("code")), "run_id": F.lit(batch)}), written, changed, seen,
         reduce(DataFrame.unionByName, edges).distinct() if edges else no_edge,
     )
 
 
+def _permanent(code: Column) -> Column:
+    return F.coalesce(code.isin(*PERMANENT_CODES), F.lit(False))
+
+
+def _unknown(changes: DataFrame) -> DataFrame:
+    """Failed outcomes of the changes that name none of the four tables."""
+    text = lambda: F.lit(None).cast("string")
+    return changes.where(~F.coalesce(F.col("entity").isin(*C.ENTITIES), F.lit(False))).select(
+        "seq", "entity", "record_id", F.lit(C.FAILED).alias("status"),
+        message(C.UNKNOWN_TABLE, F.col("entity")).alias("reason"), F.lit(C.VALIDATION_ERROR).alias("code"),
+        text().alias("target_id"), text().alias("action"), text().alias("matched_by"), text().alias("parent_id"),
+        F.lit(False).alias("parent_missing"))
+
+
 def _active(changes: DataFrame) -> list[str]:
     """Entities with changes and the parents those may pull in, parents first; companies at least."""
-    present = {r.entity for r in changes.select("entity").distinct().collect()}  # four values at most
+    known = changes.where(F.col("entity").isin(*C.ENTITIES))
+    present = {r.entity for r in known.select("entity").distinct().collect()}  # four values at most
     active = {C.COMPANY}
-    for entity in present & set(C.ENTITIES):
+    for entity in present:
         while entity:
             active.add(entity)
             entity = SPECS[entity].parent
@@ -259,24 +284,32 @@ def _outcomes(changes: DataFrame, rows: DataFrame, resolved: DataFrame, spec: Re
 
 
 def sync_events(events: DataFrame, sources: dict[str, DataFrame], targets, seq: str = "seq", **options) -> SyncResult:
-    """Sync of normalised events; unreadable ones become failed outcomes without an entity."""
+    """Sync of normalised events; unreadable ones become failed outcomes without an entity.
+
+    Events are delivered at least once: those that share ``seq``, the event's id, are one event
+    with one outcome. Should their contents differ, the smallest counts. Events without an id stay apart.
+    """
+    columns = ["entity", "record_id", "fields", "error", "error_code"]
+    events = events.select(F.col(seq).cast("bigint").alias("seq"), *columns)
+    once = events.where(F.col("seq").isNotNull()).groupBy("seq").agg(F.min(F.struct(*columns)).alias("_event")).select(
+        "seq", "_event.*")
     # parsed once: a filter on the parse error must not parse a second time
-    events = options.get("keep", pin)(events)
-    good = events.where(F.col("error").isNull()).select(
-        F.col(seq).cast("bigint").alias("seq"), "entity", "record_id", "fields")
+    events = options.get("keep", pin)(once.unionByName(events.where(F.col("seq").isNull())))
+    good = events.where(F.col("error").isNull()).select("seq", "entity", "record_id", "fields")
     result = sync(good, sources, targets, **options)
     text = lambda: F.lit(None).cast("string")
     bad = events.where(F.col("error").isNotNull()).select(
-        F.col(seq).cast("bigint").alias("seq"), "entity", "record_id", F.lit(C.FAILED).alias("status"),
+        "seq", "entity", "record_id", F.lit(C.FAILED).alias("status"),
         F.col("error").alias("reason"), F.col("error_code").alias("code"), text().alias("target_id"),
         text().alias("action"), text().alias("matched_by"), text().alias("parent_id"),
-        F.lit(False).alias("parent_missing"),
+        F.lit(False).alias("parent_missing"), _permanent(F.col("error_code")).alias("permanent"),
+        F.lit(options.get("batch", "0")).alias("run_id"),
     )
     result.outcomes = result.outcomes.unionByName(bad)
     return result
 
 
-def rescan_changes(sources: dict[str, DataFrame], since: str, limit: int | None = C.MAX_RECORDS_PER_SCAN) -> DataFrame:
+def rescan_changes(sources: dict[str, DataFrame], since: str, limit: int | None = None) -> DataFrame:
     """Changes found by looking back: per table, parents first, every record modified after ``since``."""
     parts = []
     for order, entity in enumerate(C.ENTITIES):
@@ -288,7 +321,7 @@ def rescan_changes(sources: dict[str, DataFrame], since: str, limit: int | None
     return reduce(DataFrame.unionByName, parts)
 
 
-def rescan(sources: dict[str, DataFrame], targets, since: str, limit: int | None = C.MAX_RECORDS_PER_SCAN,
+def rescan(sources: dict[str, DataFrame], targets, since: str, limit: int | None = None,
            **options) -> SyncResult:
     return sync(rescan_changes(sources, since, limit), sources, targets, **options)
 

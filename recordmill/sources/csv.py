@@ -1,25 +1,42 @@
 """CSV exports: header row, quotes, every value text and trimmed."""
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordmill.functions.text import BLANKS, filled, trim_blanks
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    return found is not None and len(found) > 0
+
+
+def _whole(value: Column) -> Column:
+    """The value; an error where an open quote shows that a line break tore its row."""
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    return F.when(quotes % 2 == 1, F.raise_error(F.lit(
+        "CSV row with an open quote: read the file with split=False"))).otherwise(value)
+
+
+def read_csv(spark: SparkSession, path: str, split: bool = False, ordinal: str | None = None) -> DataFrame:
     """All columns as trimmed text, an empty one as null; header names without BOM and blanks.
 
-    ``multi_line`` is needed only where quoted values contain line breaks; such
-    a file cannot be split among tasks, so it is off by default.
+    Quoted values may hold line breaks. Such a file cannot be split among tasks, so a large export
+    should come as many files. ``split=True`` splits files, for exports without line breaks in
+    values: it fails on a row with another number of columns or an open quote. ``ordinal`` names a
+    column to add that orders rows as they stand in the files, by path.
     """
-    try:
-        raw = (
-            spark.read.option("header", True).option("escape", '"').option("inferSchema", False)
-            .option("multiLine", multi_line).csv(path)
-        )
-    except AnalysisException as missing:
-        raise FileNotFoundError(f"CSV file not found: {path}") from missing
+    if not _exists(spark, path):
+        raise FileNotFoundError(f"CSV file not found: {path}")
+    raw = (
+        spark.read.option("header", True).option("escape", '"').option("inferSchema", False)
+        .option("multiLine", not split).option("columnPruning", False)
+        .option("mode", "FAILFAST" if split else "PERMISSIVE").csv(path)
+    )
+    values = [F.col(f"`{name}`") for name in raw.columns]
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
     return raw.select(*[
-        filled(trim_blanks(F.col(f"`{name}`"))).alias(name.strip(BLANKS)) for name in raw.columns
-    ])
+        filled(trim_blanks(_whole(value) if split else value)).alias(name.strip(BLANKS))
+        for name, value in zip(raw.columns, values, strict=True)
+    ], *([place.alias(ordinal)] if ordinal else []))

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from recordmill import contract as C
 
 
-def modified_since(table: DataFrame, since: str, limit: int | None = C.MAX_RECORDS_PER_SCAN) -> DataFrame:
+def modified_since(table: DataFrame, since: str, limit: int | None = None) -> DataFrame:
     """Records modified strictly after ``since`` (a timestamp text, UTC), oldest first.
 
-    With a limit it is the newest records that wait for the next scan. The
-    filter reaches the files; the limit is a distributed top-k.
+    All of them, unless a caller sets a limit; then it must go on from the largest
+    modification time and record id returned. The filter reaches the files.
     """
     kind = dict(table.dtypes)[C.MODIFIED]
     found = table.where(F.col(C.MODIFIED) > F.lit(since).cast(kind)).orderBy(C.MODIFIED, "record_id")

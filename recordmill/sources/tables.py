@@ -1,20 +1,9 @@
-"""Parquet tables, spread over the cores where they are small."""
+"""Parquet tables."""
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordmill.operators.lookup import estimated_bytes
 
-SPREAD_FROM, SPREAD_TO = 256 << 10, 64 << 20
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table, ready for costly projections.
-
-    A small file is one row group and so one task. Between the two sizes its
-    rows are dealt out to all cores; a larger table has row groups enough and is
-    read as it lies.
-    """
+def read_table(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A table as it lies, or dealt out to ``partitions`` tasks where its files hold too few row groups for the work."""
     table = spark.read.parquet(path)
-    if SPREAD_FROM <= estimated_bytes(table) <= SPREAD_TO:
-        return table.repartition(spark.sparkContext.defaultParallelism)
-    return table
+    return table if partitions is None else table.repartition(partitions)

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from recordmill import contract as C
 from recordmill.functions import event_fields, is_authentic
+from recordmill.plans.pins import passing_pins
 from recordmill.plans.sync import rescan, sync_events
 from recordmill.streaming.log import SyncLog
 
@@ -26,15 +27,16 @@ def event_stream(bodies: DataFrame, tables: Tables, log: SyncLog, checkpoint: st
     in its current state; no watermark is needed.
     """
     def apply(events: DataFrame, batch: int) -> None:
-        sources, targets = _state(log, tables, batch)
-        log.append(batch, sync_events(event_fields(events), sources, targets, seq=seq, batch=str(batch)))
+        with passing_pins(log.spark):
+            sources, targets = _state(log, tables, batch)
+            log.append(batch, sync_events(event_fields(events), sources, targets, seq=seq, batch=str(batch)))
 
     return bodies.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
 
 def doorbell_stream(
     messages: DataFrame, secret_base64: str, tables: Tables, log: SyncLog, checkpoint: str,
-    lookback_minutes: int = C.LOOKBACK_MINUTES, limit: int | None = C.MAX_RECORDS_PER_SCAN,
+    lookback_minutes: int = C.LOOKBACK_MINUTES, limit: int | None = None,
 ) -> DataStreamWriter:
     """Rescans when an authentic message arrives: ``(body, header, received)``.
 
@@ -50,7 +52,8 @@ def doorbell_stream(
         ).first()["since"]
         if since is None:
             return
-        sources, targets = _state(log, tables, batch)
-        log.append(batch, rescan(sources, targets, since, limit, batch=str(batch)))
+        with passing_pins(log.spark):
+            sources, targets = _state(log, tables, batch)
+            log.append(batch, rescan(sources, targets, since, limit, batch=str(batch)))
 
     return messages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

@@ -20,7 +20,7 @@ def test_hot_keys_are_split_and_nothing_is_lost(spark):
     hot = {r["_hot"]: r["_parts"] for r in hot_keys(children, F.col("fk"), 50).collect()}
     assert hot == {"hot": 6}
     args = (children, parents, F.col("fk"), "pk", {"found": "v"}, ["id"])
-    salted = lookup(*args, rows_per_task=50, plain_bytes=0)
+    salted = lookup(*args, rows_per_task=50)
     plain = lookup(*args)
     assert salted.columns == plain.columns == ["id", "fk", "found"]
     assert sorted(map(repr, salted.collect())) == sorted(map(repr, plain.collect()))

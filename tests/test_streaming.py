@@ -6,12 +6,12 @@ from recordmill import contract as C
 from recordmill.functions import event_fields
 from recordmill.plans.sync import sync_events
 from recordmill.streaming import SyncLog, event_stream
-from tests.test_sync import ACME, no_targets, tables
+from tests.test_sync import FENNEL, no_targets, tables
 
 
 def test_stream_equals_batch_and_replays_change_nothing(spark, tmp_path):
-    sources = tables(spark, company=[ACME, ("recCo2", None, "C-2", "Beta", "beta.com", None, None)],
-                     contact=[("recP1", None, None, "Ada", None, "ada@acme.com", None, "C-1", ["recCompany1"])])
+    sources = tables(spark, company=[FENNEL, ("recCo2", None, "C-2", "Beta", "beta.com", None, None)],
+                     contact=[("recP1", None, None, "Nell", None, "nell@fennel.example", None, "C-1", ["recCompany1"])])
     bodies = [
         {"table": "Companies", "recordId": "recCo2"}, {"tableName": "contacts", "id": "recP1"},
         {"table": "Companies", "recordId": "recCo2"}, {"table": "Invoices", "recordId": "recCo2"},

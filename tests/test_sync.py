@@ -9,7 +9,7 @@ from recordmill.operators import merge as M
 from recordmill.operators import report as P
 from recordmill.operators.identity import new_id, resolve
 from recordmill.plans.pins import pin
-from recordmill.plans.sync import SPECS, rescan, sync
+from recordmill.plans.sync import SPECS, rescan, sync, sync_events
 
 COLUMNS = {
     C.COMPANY: "record_id string, hubspot_record_id string, company_id string, company_name string, domain string, industry string, number_of_employees string",
@@ -17,7 +17,7 @@ COLUMNS = {
     C.DEAL: "record_id string, hubspot_record_id string, deal_id string, deal_name string, amount string, status string, close_date string, company_id string, Company array<string>",
     C.LINE_ITEM: "record_id string, hubspot_record_id string, product_name string, quantity string, unit_price string, deal_id string, Deal array<string>",
 }
-ACME = ("recCompany1", None, "C-1", "Acme Corp", "https://www.acme.com", "Technology", "250")
+FENNEL = ("recCompany1", None, "C-1", "Fennel Forge", "https://www.fennel.example", "Technology", "64")
 
 
 def tables(spark, **rows):
@@ -43,7 +43,7 @@ def outcomes(result):
 
 
 def test_company(spark):
-    src = tables(spark, company=[ACME, ("recOdd", None, None, "Odd Co", None, "Underwater Basket Weaving", None),
+    src = tables(spark, company=[FENNEL, ("recOdd", None, None, "Kite Co", None, "Kite Tuning", None),
                                  ("recNone", None, "C-9", None, None, None, None), ("recBlank",) + ("",) * 6])
     result = sync(changes(spark, ("company", "recCompany1"), ("company", "recOdd"), ("company", "recNone"),
                           ("company", "recBlank"), ("company", "recGone"), ("company", "recCompany1")),
@@ -54,25 +54,25 @@ def test_company(spark):
         ("failed", "VALIDATION_ERROR", "company_name is required to sync a Company"),
         ("skipped", None, "blank_record"), ("skipped", None, "record_not_found"), ("synced", None, None)]
     merged = {r.external_source_id: r for r in result.merged("companies").collect()}
-    acme = merged["airtable:companies:recCompany1"]
-    assert (acme.domain, acme.numberofemployees, acme.industry) == (
-        "acme.com", "250", "INFORMATION_TECHNOLOGY_AND_SERVICES")
+    fennel = merged["airtable:companies:recCompany1"]
+    assert (fennel.domain, fennel.numberofemployees, fennel.industry) == (
+        "fennel.example", "64", "INFORMATION_TECHNOLOGY_AND_SERVICES")
     assert merged["airtable:companies:recOdd"].industry is None and len(merged) == 2
     backs = {r.record_id: r.target_id for r in result.write_backs("companies").collect()}
-    assert backs["recCompany1"] == acme.id
+    assert backs["recCompany1"] == fennel.id
     stored = M.apply_write_backs(src["company"], result.write_backs("companies"))
-    assert stored.where("record_id = 'recCompany1'").first().hubspot_record_id == acme.id
+    assert stored.where("record_id = 'recCompany1'").first().hubspot_record_id == fennel.id
 
 
 def test_children_and_their_parents(spark):
-    deal = ("recDeal1", None, "D-1", "Acme Renewal", "$12,500", "Won", "09-17-2021", "C-1", ["recCompany1"])
+    deal = ("recDeal1", None, "D-1", "Forge refit", "$3,150", "Won", "10-28-2017", "C-1", ["recCompany1"])
     src = tables(
-        spark, company=[ACME, ("recBad", None, "C-2", "", "x.com", None, None)], deal=[deal],
-        contact=[("recContact1", None, "CT-1", "Ada", "Lovelace", "Ada.Lovelace@ACME.com", None, "C-1", ["recCompany1"]),
-                 ("recContact2", None, "CT-2", "No", "Parent", "b@acme.com", None, "nope", None),
-                 ("recContact3", None, "CT-3", "Bad", "Parent", "c@acme.com", None, "C-2", []),
+        spark, company=[FENNEL, ("recBad", None, "C-2", "", "x.com", None, None)], deal=[deal],
+        contact=[("recContact1", None, "CT-1", "Nell", "Harrow", "Nell.Harrow@FENNEL.example", None, "C-1", ["recCompany1"]),
+                 ("recContact2", None, "CT-2", "No", "Parent", "b@fennel.example", None, "nope", None),
+                 ("recContact3", None, "CT-3", "Bad", "Parent", "c@fennel.com", None, "C-2", []),
                  ("recContact4", None, "CT-4", "No", "Mail", None, None, None, None)],
-        line_item=[("recLine1", None, "Enterprise Licence", "3", "500", "D-1", ["recDeal1"]),
+        line_item=[("recLine1", None, "Boiler valve", "4", "75", "D-1", ["recDeal1"]),
                    ("recLine2", None, "Widget", None, None, None, None)])
     result = sync(changes(spark, ("line_item", "recLine1"), ("line_item", "recLine2"), ("contact", "recContact1"),
                           ("contact", "recContact2"), ("contact", "recContact3"), ("contact", "recContact4"),
@@ -83,12 +83,12 @@ def test_children_and_their_parents(spark):
     assert got[3].parent_missing and got[4].parent_missing and not got[2].parent_missing
     # the deal and the company were pulled in, one record each
     deals = result.merged("deals").collect()
-    assert [(d.amount, d.dealstage, d.closedate) for d in deals] == [("12500", "closedwon", "2021-09-17")]
+    assert [(d.amount, d.dealstage, d.closedate) for d in deals] == [("3150", "closedwon", "2017-10-28")]
     assert result.merged("companies").count() == 1 and result.merged("line_items").count() == 1
     kinds = sorted((e.from_type, e.to_type) for e in result.edges.collect())
     assert kinds == [("contacts", "companies"), ("deals", "companies"), ("line_items", "deals")]
     line = result.merged("line_items").first()
-    assert (line.name, line.quantity, line.price) == ("Enterprise Licence", "3", "500")
+    assert (line.name, line.quantity, line.price) == ("Boiler valve", "4", "75")
 
 
 def test_trusted_parent_and_link_order(spark):
@@ -103,16 +103,16 @@ def test_trusted_parent_and_link_order(spark):
 
 
 def test_payload_fallback(spark):
-    src = tables(spark, company=[ACME])
-    body = '{"email": "Ada@acme.com", "first_name": "Ada", "Company": "recCompany1"}'
-    later = '{"email": "ada@acme.com", "last_name": "L"}'
+    src = tables(spark, company=[FENNEL])
+    body = '{"email": "Nell@fennel.example", "first_name": "Nell", "Company": "recCompany1"}'
+    later = '{"email": "nell@fennel.example", "last_name": "L"}'
     result = sync(changes(spark, ("contact", "recX", body), ("contact", "recX", later),
                           ("contact", "recX", '{"email": ""}'), ("contact", "recY", '{"email": "no"}')),
                   src, no_targets(spark))
     got = outcomes(result)
     assert [got[i].status for i in range(4)] == ["synced", "synced", "skipped", "failed"]
     row = result.merged("contacts").collect()
-    assert [(r.firstname, r.lastname, r.email) for r in row] == [("Ada", "L", "ada@acme.com")]
+    assert [(r.firstname, r.lastname, r.email) for r in row] == [("Nell", "L", "nell@fennel.example")]
     assert result.edges.count() == 1
 
 
@@ -120,12 +120,12 @@ IDENTITY = "record_id string, seq bigint, known_id string, external_id string, n
 
 
 @pytest.mark.parametrize("target,row,action,by,id_", [
-    ([], (None, "ext1", "acme.com"), "created", None, None),
-    ([("77", "acme.com", None)], ("77", "ext1", None), "updated", "hubspot_record_id", "77"),
-    ([("77", "x.com", "ext1")], (None, "ext1", "acme.com"), "updated", "external_source_id", "77"),
-    ([("77", "acme.com", None)], (None, "ext1", "acme.com"), "updated", "natural_key", "77"),
+    ([], (None, "ext1", "fennel.com"), "created", None, None),
+    ([("77", "fennel.com", None)], ("77", "ext1", None), "updated", "hubspot_record_id", "77"),
+    ([("77", "x.com", "ext1")], (None, "ext1", "fennel.com"), "updated", "external_source_id", "77"),
+    ([("77", "fennel.com", None)], (None, "ext1", "fennel.com"), "updated", "natural_key", "77"),
     ([], ("999999", "ext1", "nowhere.com"), "created", None, None),
-    ([("1", "acme.com", None), ("2", "x.com", "ext1"), ("3", "y.com", None)], ("3", "ext1", "acme.com"),
+    ([("1", "fennel.com", None), ("2", "x.com", "ext1"), ("3", "y.com", None)], ("3", "ext1", "fennel.com"),
      "updated", "hubspot_record_id", "3"),
 ])
 def test_tiers(spark, target, row, action, by, id_):
@@ -155,7 +155,7 @@ def test_taken_id_is_salted(spark):
 
 
 def test_replay(spark):
-    src = tables(spark, company=[ACME])
+    src = tables(spark, company=[FENNEL])
     ask = changes(spark, *[("company", "recCompany1")] * 10)
     first = sync(ask, src, no_targets(spark))
     after = pin(first.merged("companies").drop("action"))
@@ -165,8 +165,36 @@ def test_replay(spark):
     assert {(o.action, o.matched_by) for o in second.outcomes.collect()} == {("updated", "external_source_id")}
 
 
+def test_events_delivered_again_have_one_outcome(spark):
+    src = tables(spark, company=[FENNEL])
+    events = spark.createDataFrame([
+        (1, '{"table":"Companies","recordId":"recGone","fields":{"company_name":"Gone Ltd"}}'),
+        (2, '{"table":"Companies","recordId":"recCompany1"}'), (3, "no json"), (None, "no json"), (None, "no json"),
+    ], "event_id bigint, body string")
+    result = sync_events(event_fields(events.union(events).union(events)), src, no_targets(spark), seq="event_id")
+    rows = result.outcomes.collect()
+    assert sorted((r.seq or 0, r.status, r.permanent) for r in rows) == [
+        *[(0, "failed", True)] * 6, (1, "synced", False), (2, "synced", False), (3, "failed", True)]
+    assert {r.run_id for r in rows} == {"0"} and result.merged("companies").count() == 2
+
+
+def test_unknown_tables_fail(spark):
+    got = outcomes(sync(changes(spark, ("company", "recCompany1"), ("invoice", "recI"), (None, "recN")),
+                        tables(spark, company=[FENNEL]), no_targets(spark)))
+    assert [(got[k].status, got[k].code) for k in range(3)] == [("synced", None), *[("failed", "VALIDATION_ERROR")] * 2]
+    assert '"invoice"' in got[1].reason
+
+
+def test_equal_times_do_not_decide_by_chance(spark):
+    rows = spark.createDataFrame([(f"r{k}", 1, None, f"e{k}", "a.com") for k in range(30)], IDENTITY)
+    tgt = spark.createDataFrame([], "id string, domain string, external_source_id string")
+    for parts in (1, 7):
+        made = resolve(rows.repartition(parts), tgt, "domain").where("action = 'created'").collect()
+        assert [r.record_id for r in made] == ["r0"]
+
+
 def test_rescan(spark):
-    src = tables(spark, company=[ACME, ("recBad", None, "C-3", "", "b.com", None, None),
+    src = tables(spark, company=[FENNEL, ("recBad", None, "C-3", "", "b.com", None, None),
                                  ("recGood2", None, "C-4", "G2", None, None, None), ("recBlank",) + ("",) * 6],
                  deal=[("recD1", None, "D-1", "Deal", None, None, None, None, None)])
     result = rescan(src, no_targets(spark), "2025-12-31 23:50:00")

@@ -57,7 +57,7 @@ DOMAIN = """case c_custkey % 4
 
 INDUSTRY = """case c_custkey % 7
   when 0 then c_mktsegment when 1 then 'Robotics' when 2 then 'Food & Beverage'
-  when 3 then 'real estate' when 4 then ' R&D ' when 5 then 'Underwater Basket Weaving'
+  when 3 then 'real estate' when 4 then ' R&D ' when 5 then 'Kite Tuning'
   else '' end"""
 
 EMPLOYEES = """case c_custkey % 6
@@ -207,7 +207,7 @@ def select_list(name: str, dialect: str, ids: dict[str, str]) -> str:
 
 def derived(spark: SparkSession, sf_dir: str, name: str, ids: dict[str, str] = CSV_IDS) -> DataFrame:
     """A derived table in Spark."""
-    table = read_table(spark, f"{sf_dir}/{INPUTS[name][0]}.parquet")
+    table = read_table(spark, f"{sf_dir}/{INPUTS[name][0]}.parquet", spark.sparkContext.defaultParallelism)
     table.createOrReplaceTempView("_derived_from")
     return spark.sql(f"select {select_list(name, 'spark', ids)} from _derived_from")
 

@@ -283,12 +283,12 @@ SQL["f2_rejections"] = DRY + PROBLEMS.format("rejected")
 SQL["f4_orphan_reject"] = migration(False, orphans=False) + PROBLEMS.format("rejected")
 SQL["f10_failed_rows"] = REAL + f"select object_type, failure_reason, company_id, deal_id from ({PROBLEMS.format('failed')})"
 SQL["f3_warnings"] = DRY + " union all ".join(
-    f"select '{t}' as object_type, source_id, unnest(warnings) as message from s_{t}" for t in ("companies", "contacts", "deals"))
+    f"select '{t}' as object_type, source_id, unnest(warnings) as message, 'run' as run_id from s_{t}" for t in ("companies", "contacts", "deals"))
 SQL["k6_problem_rows"] = REAL + " union all ".join(
     f"""select '{t}' as object_type, reason as failure_reason, {', '.join(
         (c if c in cols else f'null as {c}') for c in
         ['company_id', 'company_name', 'domain', 'industry', 'number_of_employees', 'contact_id', 'first_name', 'last_name',
-         'email', 'phone', 'lifecycle_stage', 'deal_id', 'deal_name', 'amount', 'deal_stage', 'close_date'])}
+         'email', 'phone', 'lifecycle_stage', 'deal_id', 'deal_name', 'amount', 'deal_stage', 'close_date'])}, 'run' as run_id
 from s_{t} where status in ('rejected', 'failed')"""
     for t, cols in (("companies", {"company_id", "company_name", "domain", "industry", "number_of_employees"}),
                     ("contacts", {"contact_id", "first_name", "last_name", "email", "phone", "company_id", "lifecycle_stage"}),
@@ -303,7 +303,7 @@ SQL["j1_orphans"] = DRY + " union all ".join(
     f"select '{t}' as object_type, source_id, company_id from s_{t} where source_id is not null and to_companies is null"
     for t in ("contacts", "deals"))
 SQL["j2_pairs"] = DRY + f"select label, from_id, to_id from ({REFERENCES}) where reason is null"
-SQL["j2_missing"] = DRY + f"select label, from_key, to_key, reason from ({REFERENCES}) where reason is not null"
+SQL["j2_missing"] = DRY + f"select label, from_key, to_key, reason, 'run' as run_id from ({REFERENCES}) where reason is not null"
 SQL["j3_edge_counts"] = DRY + f"""select case label when 'contacts->companies' then 'Contact → Company'
   when 'deals->companies' then 'Deal → Company' else 'Deal → Contact' end as label, count(*) as n
 from ({REFERENCES}) where reason is null group by 1"""
@@ -349,7 +349,7 @@ SQL["a7_dup_names"] = f"""with {cte('csv_deals')} select deal_name, count(*) as
 SQL["w1_batches"] = f"""with {cte('rec_deals')}, o as (select record_id, row_number() over (order by record_id) as ordinal from rec_deals)
 select record_id, ordinal, cast(floor((ordinal - 1) / 100) as bigint) as batch_no from o"""
 SQL["s2_modified_since"] = f"""with {cte('rec_deals')} select record_id from rec_deals where last_modified > timestamp '1999-06-01'
-order by last_modified, record_id limit 200"""
+order by last_modified, record_id"""
 SQL["s2_modified_uncapped"] = f"""with {cte('rec_lines')} select record_id, quantity from rec_lines where last_modified > timestamp '2001-06-01'"""
 
 
