@@ -10,7 +10,7 @@ from recordmill.llm.exact_dedup import exact_groups
 from recordmill.llm.packing import packed
 from recordmill.llm.queries import tokenizer_path
 from recordmill.llm.simhash import near_duplicates
-from recordmill.llm.text import digest, keep_one_each
+from recordmill.llm.text import digest, keep_one_each, read_texts
 from recordmill.llm.toxicity import fit, held_out, score
 from recordmill.plans.pins import pin
 
@@ -19,7 +19,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under one half. The classifier learns from the labels of these documents."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = read_texts(spark, f"{sf_dir}/labels.parquet")
     model = fit(docs, labels, ~held_out(F.col("doc_id")))
     return score(docs, model).where("toxicity_score < 0.5").select(*docs.columns)
 
@@ -38,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without_leaks(docs, read_texts(spark, f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over ``documents``; each reads what the former wrote to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_texts(spark, f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = pin(stage(spark, docs, sf_dir))
     return docs

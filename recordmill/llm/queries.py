@@ -11,6 +11,7 @@ from recordmill.llm.licence_scan import licence_scan
 from recordmill.llm.packing import packed
 from recordmill.llm.personal_data import personal_data
 from recordmill.llm.simhash import near_duplicates
+from recordmill.llm.text import read_texts
 from recordmill.llm.toxicity import toxicity
 from recordmill.llm.url_filter import judged
 from recordmill.llm.warc import archived
@@ -19,7 +20,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return read_texts(spark, f"{folder}/{name}.parquet")
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,12 +2,21 @@
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordmill.plans.pins import pin
 
 
+BATCH_ROWS = 1000
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table of texts, which reach Python tasks at most ``BATCH_ROWS`` at a time, as some are very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark.read.parquet(path)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is; null counts as empty."""
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import xxhash
 
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 17
 
 
 class WordHashes(dict):
