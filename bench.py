@@ -13,7 +13,7 @@ HEADLINE = ["t16_event_fields", "p3_deal", "p7_line_item", "f11_dry_run_summary"
 
 def main() -> None:
     from recordmill.session import local_session
-    from verification.queries import QUERIES
+    from verification import queries
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = int(os.environ.get("BENCH_CPUS", "8"))
@@ -21,9 +21,11 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()  # start the executor threads
     times = {}
     for name in HEADLINE:
-        start = time.time()
-        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - start, 3)
+        for _ in range(2):  # the second run counts, when code is compiled
+            queries._RUNS.clear()  # no query reads what another one wrote
+            start = time.time()
+            queries.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.time() - start, 3)
     spark.stop()
     print(json.dumps({"metric": "total seconds of the headline queries", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": folder.rstrip("/").split("sf")[-1]}))

@@ -28,22 +28,35 @@ MONTH_NUMBER = {
 }
 
 
-def parse_date(value: Column) -> Column:
-    """Normalised date text, or null.
+def date_shapes(value: Column) -> dict[str, Column]:
+    """The texts that ``date_digits`` tells a date from; a projection of their own where dates are many."""
+    text = trim_blanks(value)
+    return {
+        "text": text, "numeric": F.regexp_replace(text, NUMERIC, YEAR_MONTH_DAY),
+        "lowered": F.lower(text), "named": F.regexp_replace(F.lower(text), NAMED, YEAR_NAME),
+    }
+
+
+def date_digits(text: Column, numeric: Column, lowered: Column, named: Column) -> Column:
+    """``YYYY-MM-DD`` as written, not yet checked against the calendar.
 
     Month-and-year shapes give the first of the month. A replacement that
     changed nothing did not match: what matches always gains a final dash.
     """
-    text = trim_blanks(value)
-    numeric = F.regexp_replace(text, NUMERIC, YEAR_MONTH_DAY)
-    lowered = F.lower(text)
-    named = F.regexp_replace(lowered, NAMED, YEAR_NAME)
     numbers = F.create_map(*[
         F.lit(x) for name, number in MONTH_NUMBER.items() for x in (f"{name}-", f"-{number}")
     ])
-    parts = F.when(numeric != text, F.rtrim(numeric, F.lit("-"))).when(
+    return F.when(numeric != text, F.rtrim(numeric, F.lit("-"))).when(
         named != lowered,
         F.concat(F.substring(named, 1, 4), F.try_element_at(numbers, F.substring(named, 6, 20))),
     )
+
+
+def real_date(parts: Column) -> Column:
     # years below 100 are no dates for the source systems; years below 1000 print unpadded
     return F.when(parts >= "0100", F.ltrim(parts.try_cast("date").cast("string"), F.lit("0")))
+
+
+def parse_date(value: Column) -> Column:
+    """Normalised date text, or null."""
+    return real_date(date_digits(**date_shapes(value)))

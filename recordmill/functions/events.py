@@ -51,9 +51,11 @@ def event_fields(df: DataFrame, body: str = "body") -> DataFrame:
     def first(group: str) -> Column:
         return _first_set([F.col(c) for c in paths if c.startswith(f"_{group}")])
 
-    found = texts.select(
-        *df.columns, "_kind", _plain(first("table")).alias("table_name"), first("id").alias("_id"),
-        first("fields").alias("_fields"), _plain(first("event")).alias("source_event_id"),
+    # each choice in a projection of its own, so that what reads it twice does not choose twice
+    chosen = texts.select(*df.columns, "_kind", *[first(g).alias(f"_{g}") for g in ("table", "id", "fields", "event")])
+    found = chosen.select(
+        *df.columns, "_kind", _plain(F.col("_table")).alias("table_name"), "_id", "_fields",
+        _plain(F.col("_event")).alias("source_event_id"),
     ).withColumn("_entity", entity_of_table(F.col("table_name")))
     error = (
         F.when(~F.coalesce(F.col("_kind").isin("OBJEC", "ARRAY"), F.lit(False)),

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from recordmill import contract as C
 from recordmill import functions as R
+from recordmill.functions.dates import date_digits, date_shapes, real_date
+from recordmill.functions.numbers import finite, leading_number, whole
 
 Mapper = Callable[[DataFrame], DataFrame]
 
@@ -38,20 +40,38 @@ def _mapped(df: DataFrame, props: Column, error: Column, warnings: list[Column])
         df.withColumn("props", props)
         .withColumn("error", error)
         .withColumn("warnings", F.when(F.col("error").isNull(), noted).otherwise(none))
+        .drop("_employees", "_amount", "_quantity", "_price", "_date")
     )
 
 
+def _with_numbers(df: DataFrame, **sources: str) -> DataFrame:
+    """Adds ``_<name>``, the double in each source column.
+
+    A projection of its own for each step: an expression that a later one reads several times is computed once.
+    """
+    read = df.withColumns({f"_{name}": leading_number(F.col(source)) for name, source in sources.items()})
+    return read.withColumns({f"_{name}": finite(F.col(f"_{name}")) for name in sources})
+
+
+def _with_date(df: DataFrame, source: str) -> DataFrame:
+    """Adds ``_date``, the date digits in a source column."""
+    shapes = date_shapes(F.col(source))
+    read = df.withColumns({f"_{name}": column for name, column in shapes.items()})
+    return read.withColumn("_date", date_digits(*[F.col(f"_{name}") for name in shapes])).drop(*[f"_{n}" for n in shapes])
+
+
 def _lost(source: str, prop: str, template: str) -> Column:
     """Warning for a field that was given but came to nothing."""
     return F.when(given(source) & F.col(f"props.{prop}").isNull(), R.message(template, F.col(source)))
 
 
 def map_company_csv(df: DataFrame) -> DataFrame:
+    df = _with_numbers(df, employees="number_of_employees").withColumn("_employees", whole(F.col("_employees")))
     props = _props(C.COMPANIES, C.CSV_SOURCE, C.CSV_SYSTEM, "company_id", {
         "name": R.trim_blanks(F.col("company_name")),
         "domain": R.normalise_domain(F.col("domain")),
         "industry": R.clean_industry(F.col("industry")),
-        "numberofemployees": R.number_text(R.parse_whole(F.col("number_of_employees"))),
+        "numberofemployees": R.number_text(F.col("_employees")),
     })
     return _mapped(df, props, F.when(F.col("props.name").isNull(), F.lit(C.NO_COMPANY_NAME)), [
         _lost("domain", "domain", C.BAD_DOMAIN),
@@ -77,11 +97,12 @@ def map_contact_csv(df: DataFrame) -> DataFrame:
 
 
 def map_deal_csv(df: DataFrame) -> DataFrame:
+    df = _with_date(_with_numbers(df, amount="amount"), "close_date")
     props = _props(C.DEALS, C.CSV_SOURCE, C.CSV_SYSTEM, "deal_id", {
         "dealname": R.trim_blanks(F.col("deal_name")),
-        "amount": R.number_text(R.parse_amount(F.col("amount"))),
+        "amount": R.number_text(F.col("_amount")),
         "dealstage": R.clean_deal_stage(F.col("deal_stage")),
-        "closedate": R.parse_date(F.col("close_date")),
+        "closedate": real_date(F.col("_date")),
         "pipeline": F.lit(C.DEFAULT_PIPELINE),
     })
     # the stage was replaced, not kept: an unknown one is told by the list of known stages
@@ -94,11 +115,12 @@ def map_deal_csv(df: DataFrame) -> DataFrame:
 
 
 def map_company_record(df: DataFrame) -> DataFrame:
+    df = _with_numbers(df, employees="number_of_employees").withColumn("_employees", whole(F.col("_employees")))
     props = _props(C.COMPANIES, C.RECORD_SOURCE, C.RECORD_SYSTEM, "record_id", {
         "name": F.col("company_name"),
         "domain": R.normalise_domain(F.col("domain")),
         "industry": R.clean_industry(F.col("industry")),
-        "numberofemployees": R.number_text(R.parse_whole(F.col("number_of_employees"))),
+        "numberofemployees": R.number_text(F.col("_employees")),
     })
     return _mapped(df, props, F.when(~given("company_name"), F.lit(C.RECORD_NO_COMPANY_NAME)), [])
 
@@ -116,11 +138,12 @@ def map_contact_record(df: DataFrame) -> DataFrame:
 
 
 def map_deal_record(df: DataFrame) -> DataFrame:
+    df = _with_date(_with_numbers(df, amount="amount"), "close_date")
     props = _props(C.DEALS, C.RECORD_SOURCE, C.RECORD_SYSTEM, "record_id", {
         "dealname": F.col("deal_name"),
-        "amount": R.number_text(R.parse_amount(F.col("amount"))),
+        "amount": R.number_text(F.col("_amount")),
         "dealstage": R.stage_of_status(F.col("status")),
-        "closedate": R.parse_date(F.col("close_date")),
+        "closedate": real_date(F.col("_date")),
         "pipeline": F.lit(C.DEFAULT_PIPELINE),
     })
     return _mapped(df, props, F.when(~given("deal_name"), F.lit(C.RECORD_NO_DEAL_NAME)), [
@@ -130,10 +153,11 @@ def map_deal_record(df: DataFrame) -> DataFrame:
 
 def map_line_item_record(df: DataFrame) -> DataFrame:
     """A line item never touches its deal's amount, so a replay cannot count it twice."""
+    df = _with_numbers(df, quantity="quantity", price="unit_price")
     props = _props(C.LINE_ITEMS, C.RECORD_SOURCE, C.RECORD_SYSTEM, "record_id", {
         "name": F.col("product_name"),
-        "quantity": R.number_text(R.parse_amount(F.col("quantity"))),
-        "price": R.number_text(R.parse_amount(F.col("unit_price"))),
+        "quantity": R.number_text(F.col("_quantity")),
+        "price": R.number_text(F.col("_price")),
     })
     return _mapped(df, props, F.when(~given("product_name"), F.lit(C.RECORD_NO_PRODUCT_NAME)), [])
 

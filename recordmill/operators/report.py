@@ -106,6 +106,22 @@ def rescan_tally(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def permanent_failures(outcomes: DataFrame) -> DataFrame:
+    """Failed outcomes that no retry changes, by code; the others will be tried again by the next scan."""
+    return outcomes.where((F.col("status") == C.FAILED) & F.col("permanent")).groupBy("entity", "code").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def attempt_signals(attempts: DataFrame, keys: list[str]) -> DataFrame:
+    """Attempts per ``keys`` (such as action and type): how many, retried after 429, and duration percentiles.
+
+    Expects ``status`` and ``duration`` (any unit).
+    """
+    return attempts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("status") == 429).alias("throttled"),
+        *[F.percentile("duration", p / 100).alias(f"p{p}") for p in (50, 95, 99)])
+
+
 def signals(outcomes: DataFrame) -> DataFrame:
     """Operating signals over an outcome log, per entity: faults that are no bad data, parents not found."""
     return outcomes.groupBy("entity").agg(

@@ -1,11 +1,16 @@
 """The event stream ends where the batch does, however often events come."""
 
+import base64
+import hashlib
+import hmac
 import json
+import os
 
 from recordmill import contract as C
 from recordmill.functions import event_fields
+from recordmill.plans.pins import shared_folder
 from recordmill.plans.sync import sync_events
-from recordmill.streaming import SyncLog, event_stream
+from recordmill.streaming import SyncLog, doorbell_stream, event_stream
 from tests.test_sync import FENNEL, no_targets, tables
 
 
@@ -36,3 +41,27 @@ def test_stream_equals_batch_and_replays_change_nothing(spark, tmp_path):
     assert sorted(log.edges().collect()) == sorted(batch.edges.collect())
     assert log.outcomes().where("status = 'failed'").count() == 1
     assert log.outcomes().count() == len(bodies)
+
+
+def test_doorbell_scans_for_authentic_messages_only(spark, tmp_path):
+    secret = base64.b64encode(b"a secret of this test").decode()
+    sign = lambda body: "hmac-sha256=" + hmac.new(base64.b64decode(secret), body.encode(), hashlib.sha256).hexdigest()
+    sources = tables(spark, company=[FENNEL, *[(f"rec{k}", None, f"K{k}", f"Name {k}", None, None, None) for k in range(300)]])
+    messages = [("forged", "hmac-sha256=00", "2026-01-01 00:05:00"), ("ring", sign("ring"), "2026-01-01 00:05:00")]
+    for part, message in enumerate(messages):
+        spark.createDataFrame([message], "body string, header string, received string").selectExpr(
+            "body", "header", "cast(received as timestamp_ntz) as received").coalesce(1).write.parquet(str(tmp_path / f"in/p={part}"))
+    log = SyncLog(spark, str(tmp_path / "log")).start_from(no_targets(spark))
+    before = {entry.name for entry in os.scandir(f"{shared_folder(spark).removeprefix('file:')}/recordmill")}
+    counts = []
+    for part in range(2):
+        stream = spark.readStream.schema("body string, header string, received timestamp_ntz").parquet(str(tmp_path / f"in/p={part}"))
+        job = doorbell_stream(stream, secret, lambda: sources, log, str(tmp_path / f"checkpoint{part}")).trigger(
+            availableNow=True).start()
+        job.awaitTermination(600)
+        assert job.exception() is None
+        counts.append(log.target(C.COMPANIES).count())
+    # no cap: all 301 records modified within the lookback, which also covers a message that was missed
+    assert counts == [0, 301]
+    # what the micro-batches pinned is gone
+    assert {entry.name for entry in os.scandir(f"{shared_folder(spark).removeprefix('file:')}/recordmill")} <= before

@@ -117,7 +117,8 @@ INPUTS = {
         case o_orderstatus when 'F' then 'closedwon' when 'O' then 'Negotiation' else 'ContractSent' end
           as deal_stage,
         {CLOSE_DATE} as close_date,
-        cast(o_custkey + case when o_orderkey % 97 = 0 then 10000000 else 0 end as string) as company_id,
+        cast(case when o_orderkey % 7 = 0 then 5 when o_orderkey % 97 = 0 then o_custkey + 10000000 else o_custkey end as string)
+          as company_id,
         cast(o_custkey as string) as contact_id"""),
     # --- record tables ---
     "rec_companies": ("customer", f"""
@@ -139,7 +140,7 @@ INPUTS = {
         case when p_partkey % 4 = 3 then '' else 'C-' || cast(p_partkey as string) end as company_id,
         case p_partkey % 4
           when 0 then {{array}}('recC' || cast(p_partkey as string))
-          when 2 then {{array}}('recC' || cast(p_partkey as string), 'recC1')
+          when 2 then {{array}}('recC' || cast(case when p_partkey % 8 = 2 then 5 else p_partkey end as string), 'recC1')
           else {{no_links}} end as Company"""),
     "rec_deals": ("orders", f"""
         'recD' || cast(o_orderkey as string) as record_id, o_orderdate as last_modified,
@@ -149,7 +150,7 @@ INPUTS = {
         {AMOUNT} as amount,
         case o_orderstatus when 'F' then 'Closed-Won' when 'O' then ' LOST' else 'In Progress' end as status,
         {CLOSE_DATE} as close_date, 'C-' || cast(o_custkey as string) as company_id,
-        case when o_orderkey % 2 = 0 then {{array}}('recC' || cast(o_custkey as string))
+        case when o_orderkey % 2 = 0 then {{array}}('recC' || cast(case when o_orderkey % 6 = 0 then 5 else o_custkey end as string))
           else {{no_links}} end as Company"""),
     "rec_lines": ("lineitem", f"""
         'recL' || {LINE_KEY} as record_id, l_shipdate as last_modified, '' as hubspot_record_id,

@@ -3,6 +3,7 @@
 import base64
 
 from recordmill import contract as C
+from recordmill.functions.text import BLANKS
 from verification.inputs import CSV_IDS, RECORD_IDS, cte
 
 SQL: dict[str, str] = {}
@@ -350,6 +351,8 @@ SQL["w1_batches"] = f"""with {cte('rec_deals')}, o as (select record_id, row_num
 select record_id, ordinal, cast(floor((ordinal - 1) / 100) as bigint) as batch_no from o"""
 SQL["s2_modified_since"] = f"""with {cte('rec_deals')} select record_id from rec_deals where last_modified > timestamp '1999-06-01'
 order by last_modified, record_id"""
+SQL["s1_csv_round_trip"] = f"""select cast(doc_id as varchar) as doc_id, nullif(trim(text, '{BLANKS}'), '') as text,
+nullif(trim(lang, '{BLANKS}'), '') as lang from documents"""
 SQL["s2_modified_uncapped"] = f"""with {cte('rec_lines')} select record_id, quantity from rec_lines where last_modified > timestamp '2001-06-01'"""
 
 
@@ -444,3 +447,7 @@ SQL["a9_signals"] = OUTCOMES + """ select entity, count(*) as events, count(*) f
 count(*) filter (code = 'VALIDATION_ERROR') as bad_data,
 count(*) filter (status = 'synced' and entity <> 'company' and parent_id is null) as unresolved_parents from outc group by 1"""
 SQL["e3_rescan"] = f"with {STATE} select entity, status, code, count(*) as n, count(parent_id) as with_parent from st group by 1, 2, 3"
+SQL["e6_permanent"] = OUTCOMES + """ select entity, code, count(*) as n from outc
+where status = 'failed' and code in ('VALIDATION_ERROR', 'MISSING_REFERENCE') group by 1, 2"""
+SQL["a9_attempts"] = "select event_type, count(*) as attempts, count(*) filter (event_id % 7 = 0) as throttled, " + ", ".join(
+    f"round(quantile_cont(cast(floor(value * 100) as bigint), {p / 100}), 4) as p{p}" for p in (50, 95, 99)) + " from events group by 1"

@@ -16,8 +16,9 @@ from recordmill.operators.identity import find_parents, match_external, resolve,
 from recordmill.operators.validate import duplicates, is_blank
 from recordmill.plans import sync as S
 from recordmill.plans.migrate import migrate
+from recordmill.plans.pins import fresh_path
 from recordmill.session import tune
-from recordmill.sources import modified_since
+from recordmill.sources import modified_since, read_csv
 from verification.inputs import RECORD_IDS, derived
 
 SECRET = "YS10ZXN0LW1hYy1zZWNyZXQtdmFsdWU="  # base64 of a-test-mac-secret-value
@@ -31,6 +32,18 @@ def query(function):
     return function
 
 
+def splitting(function):
+    """The query with so few rows to a task that its lookups split their hot keys."""
+    def run(spark, sf):
+        spark.conf.set("spark.recordmill.rowsPerTask", "500")
+        try:
+            return function(spark, sf)
+        finally:
+            spark.conf.unset("spark.recordmill.rowsPerTask")
+    run.__name__ = function.__name__
+    return query(run)
+
+
 def expression(name: str, table: str, keys: list[str], column, alias: str = "parsed"):
     """``column`` is a function, as a column can be built only in a running session."""
     QUERIES[name] = lambda spark, sf: derived(tune(spark), sf, table).select(*keys, column().alias(alias))
@@ -249,7 +262,7 @@ def j3_edge_counts(spark, sf):
     return P.association_counts(dry(spark, sf).references())
 
 
-@query
+@splitting
 def j4_create_update(spark, sf):
     rows = derived(spark, sf, "csv_deals").where(col("deal_id") != "")
     found = match_external(rows, derived(spark, sf, "target_deals"),
@@ -266,7 +279,7 @@ def identities(spark, sf, name: str, mapper, natural: str | None, object_type: s
         (col(f"props.{natural}") if natural else F.lit(None).cast("string")).alias("natural_key"), "props")
 
 
-@query
+@splitting
 def j6_tiers(spark, sf):
     parts = []
     for name, mapper, natural, t in (("rec_companies", Map.map_company_record, "domain", C.COMPANIES),
@@ -284,7 +297,7 @@ def with_parent(spark, sf, child: str, parent: str, entity: str) -> DataFrame:
     return find_parents(rows, parents, S.link_of(rows, spec), col(spec.business_key), spec.business_key)
 
 
-@query
+@splitting
 def j8_parent(spark, sf):
     return with_parent(spark, sf, "rec_contacts", "rec_companies", C.CONTACT).select(
         "record_id", "parent_record", "parent_known_id")
@@ -302,7 +315,7 @@ def j9_reread(spark, sf):
         F.when(col("found"), col("now_name")).otherwise(F.get_json_object("fields", "$.company_name")).alias("company_name"))
 
 
-@query
+@splitting
 def j10_required_parent(spark, sf):
     lines = with_parent(spark, sf, "rec_lines", "rec_deals", C.LINE_ITEM)
     return lines.select("record_id", "parent_record", F.when(
@@ -387,6 +400,17 @@ def a7_dup_names(spark, sf):
     return duplicates(derived(spark, sf, "csv_deals").where(col("deal_name") != ""), "deal_name")
 
 
+@query
+def s1_csv_round_trip(spark, sf):
+    """Texts with line breaks, written as CSV with a BOM and blanks in the header, and read back."""
+    path = fresh_path(spark)
+    raw(spark, sf, "documents").select(
+        col("doc_id").cast("string").alias("\ufeffdoc_id"), "text", F.concat(F.lit(" "), "lang").alias(" lang ")
+    ).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(path)
+    return read_csv(spark, path)
+
+
 @query
 def w1_batches(spark, sf):
     return numbered_batches(derived(spark, sf, "rec_deals").select("record_id"), "record_id").select(
@@ -457,3 +481,14 @@ def a4_rescan_summary(spark, sf):
 @query
 def a9_signals(spark, sf):
     return P.signals(event_run(spark, sf).outcomes)
+
+
+@query
+def a9_attempts(spark, sf):
+    timed = attempts(spark, sf).withColumn("duration", F.floor(col("value") * 100))
+    return P.attempt_signals(timed, ["event_type"]).withColumns({p: F.round(p, 4) for p in ("p50", "p95", "p99")})
+
+
+@query
+def e6_permanent(spark, sf):
+    return P.permanent_failures(event_run(spark, sf).outcomes)
