@@ -11,7 +11,7 @@ from recordmill.llm.licence_texts import LICENCES
 from recordmill.llm.text import ascii_lower
 
 #: Lines that state a copyright: the word and a year, name or sign after it, with any comment marks before.
-COPYRIGHT = r"(?m)^[ \t*#/;%-]*(?:copyright[ \t]+(?:\(c\)|©|[0-9]{4}|[<\[{])|\(c\)[ \t]|©)[^\n]*$"
+COPYRIGHT = r"^[ \t*#/;%-]*(?:copyright[ \t]+(?:\(c\)|©|[0-9]{4}|[<\[{])|\(c\)[ \t]|©)[^\n]*$"
 OTHER = r"[^\p{L}\p{N}]+"
 
 #: Spellings that licence guidelines treat as equal.
@@ -24,7 +24,7 @@ SPELLINGS = (
 
 def canonical(text: Column) -> Column:
     """The text in lower case (A-Z), without copyright lines, in common spelling, words parted by one blank."""
-    text = F.regexp_replace(ascii_lower(text), COPYRIGHT, "")
+    text = F.regexp_replace(ascii_lower(text), "(?dm)" + COPYRIGHT, "")
     for spelling, common in SPELLINGS:
         text = F.replace(text, F.lit(spelling), F.lit(common))
     return F.trim(F.regexp_replace(text, OTHER, " "))

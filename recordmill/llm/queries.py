@@ -8,6 +8,7 @@ from recordmill.llm.decontaminate import contaminated
 from recordmill.llm.exact_dedup import exact_groups
 from recordmill.llm.language_model import scored
 from recordmill.llm.licence_scan import licence_scan
+from recordmill.llm.oracle import SQL  # noqa: F401
 from recordmill.llm.packing import packed
 from recordmill.llm.personal_data import personal_data
 from recordmill.llm.simhash import near_duplicates
@@ -16,9 +17,6 @@ from recordmill.llm.toxicity import toxicity
 from recordmill.llm.url_filter import judged
 from recordmill.llm.warc import archived
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_texts(spark, f"{folder}/{name}.parquet")
 
@@ -74,12 +72,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_simhash, op2_decontaminate, op3_licences, op4_exact_dedup, op5_packing, op6_warc, op7_toxicity,
               op8_personal_data, op9_lm_scoring, op10_url_filter)
 }
-
-#: For DuckDB. The other operators are compared with brute force in tests/llm.
-SQL: dict[str, str] = {
-    "op4_exact_dedup": f"""
-        WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
-        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
-        FROM n WINDOW w AS (PARTITION BY t)""",
-}
