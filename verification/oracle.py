@@ -451,3 +451,53 @@ SQL["e6_permanent"] = OUTCOMES + """ select entity, code, count(*) as n from out
 where status = 'failed' and code in ('VALIDATION_ERROR', 'MISSING_REFERENCE') group by 1, 2"""
 SQL["a9_attempts"] = "select event_type, count(*) as attempts, count(*) filter (event_id % 7 = 0) as throttled, " + ", ".join(
     f"round(quantile_cont(cast(floor(value * 100) as bigint), {p / 100}), 4) as p{p}" for p in (50, 95, 99)) + " from events group by 1"
+
+
+# --- change sync: what each event was matched with, and which edges a run writes --------------------
+CONTACT_TIERS = tiers("contacts", "rec_contacts", "email")
+CONTACT_TIERS = CONTACT_TIERS[CONTACT_TIERS.index("byx_contacts as"):]  # the mapped records are there already
+
+
+def resolved(entity, t, table, natural):
+    """CTE res_<type>: target id, action and match of each record of a run; the first new one of a natural key creates it."""
+    return f"""o_{t} as (select t.*, b.seq, first_value(p_external_source_id) over (
+    partition by existing_id is null, p_{natural} order by b.seq, t.record_id) as lead from t_{t} t join run_{entity} b using (record_id)),
+res_{t} as (select '{entity}' as entity, record_id,
+  coalesce(existing_id, substr(sha256(case when p_{natural} is null then p_external_source_id else lead end), 1, 32)) as target_id,
+  case when existing_id is null and (p_{natural} is null or lead = p_external_source_id) then 'created' else 'updated' end as action,
+  case when existing_id is null and p_{natural} is not null and lead <> p_external_source_id then 'natural_key' else matched_by end as matched_by
+from o_{t})"""
+
+
+MATCHES = OUTCOMES + f""", {cte('target_contacts', RECORD_IDS)}, {CONTACT_TIERS},
+asked as (select entity, record_id, min(event_id) as seq from ev where error_code is null group by 1, 2),
+pull_d as (select distinct parent_record as record_id from par_x where parent_record is not null and parent_known_id is null),
+run_deal as (select record_id, seq from asked where entity = 'deal' union all
+  select record_id, -1 from pull_d where record_id not in (select record_id from asked where entity = 'deal')),
+live_d as (select p.* from par_d p join run_deal using (record_id) where error is null),
+run_contact as (select record_id, seq from asked where entity = 'contact'),
+live_c as (select p.* from par_c p join run_contact using (record_id) where error is null),
+pull_c as (select parent_record as record_id from live_c where parent_known_id is null and parent_record is not null
+  union select parent_record from live_d where parent_known_id is null and parent_record is not null),
+run_company as (select record_id, seq from asked where entity = 'company' union all
+  select record_id, -1 from pull_c where record_id not in (select record_id from asked where entity = 'company')),
+{resolved('company', 'companies', 'rec_companies', 'domain')}, {resolved('contact', 'contacts', 'rec_contacts', 'email')},
+res_deals as (select 'deal' as entity, d.record_id, coalesce(a.id, b.id, {NEW}) as target_id,
+  case when coalesce(a.id, b.id) is null then 'created' else 'updated' end as action,
+  case when a.id is not null then 'hubspot_record_id' when b.id is not null then 'external_source_id' end as matched_by
+  from live_d d left join target_deals a on a.id = nullif(d.hubspot_record_id, '') left join byx_deals b on b.k = d.p_external_source_id),
+res_lines as (select distinct 'line_item' as entity, record_id, substr(sha256('airtable:line_items:' || record_id), 1, 32) as target_id,
+  'created' as action, cast(null as varchar) as matched_by from outc where entity = 'line_item' and status = 'synced'),
+res as (select * from res_companies union all select * from res_contacts union all select * from res_deals union all select * from res_lines)"""
+SQL["e2_event_matches"] = MATCHES + """ select o.event_id, r.target_id, r.action, r.matched_by
+from outc o join res r on r.entity = o.entity and r.record_id = o.record_id where o.status = 'synced'"""
+SQL["e2_event_edges"] = MATCHES + """, company_ids as (select record_id, target_id from res_companies)
+select distinct 'contacts' as from_type, r.target_id as from_id, 'companies' as to_type, coalesce(parent_known_id, i.target_id) as to_id
+from live_c join res_contacts r using (record_id) left join company_ids i on i.record_id = parent_record
+where coalesce(parent_known_id, i.target_id) is not null
+union select 'deals', r.target_id, 'companies', coalesce(parent_known_id, i.target_id)
+from live_d join res_deals r using (record_id) left join company_ids i on i.record_id = parent_record
+where coalesce(parent_known_id, i.target_id) is not null
+union select 'line_items', r.target_id, 'deals', coalesce(parent_known_id, d.target_id)
+from par_x x join res_lines r using (record_id) left join res_deals d on d.record_id = x.parent_record
+where coalesce(parent_known_id, d.target_id) is not null"""
