@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from recordmill.plans.pins import pin
 
 CAPACITY = 2048
-CACHE_WORDS = 120_000
+CACHE_WORDS = 250_000
 END = b"\0\0\0\0"
 
 Pattern = tuple[dict[int, int], int]  # {length: pieces of it}, number of such sequences
