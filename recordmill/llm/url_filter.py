@@ -2,8 +2,9 @@
 
 The rules' verdicts are the labels. Per host the first ``DEPTH`` path segments make a tree. A
 segment of digits or hexadecimal signs becomes a wildcard at once; then, level by level, so
-does a branch with little support among its siblings, and a branch whose share of blocked
-labels does not differ significantly from its siblings' is merged with them. A template's
+does a branch of under ``SUPPORT`` rows, and a branch whose share of blocked labels does not
+differ significantly from its siblings' is merged with them. Labels say nothing of a branch without
+any, so in a wildcard that holds labelled siblings those without stand apart. A template's
 purity is its blocked share of labels, smoothed with the same template on all hosts, and that with one
 half; templates above ``REJECT`` are blocked. Everything is aggregates and joins over templates.
 """
@@ -18,11 +19,12 @@ from recordmill.plans.pins import pin
 
 DEPTH = 3
 SUPPORT = 5
-SHARE = 0.01
+SHARE = 0.01  # only for the SQL in `oracle.py`, which still merges branches of a smaller share
 Z = 1.96
 SMOOTH = 5.0
 REJECT = 0.7
 LEVELS = [f"s{k}" for k in range(1, DEPTH + 1)]
+APART = "/?"  # a wildcard of branches without labels beside labelled ones; no path holds a question mark
 
 
 @dataclass(frozen=True)
@@ -74,18 +76,22 @@ def _generalised(tree: DataFrame, level: str) -> DataFrame:
     """``tree`` with its next level added to ``template``: the branch, or ``*`` where it is weak or like its siblings."""
     branch = tree.groupBy("host", "template", level).agg(*_counts())
     parent = branch.groupBy("host", "template").agg(*_counts()).select(
-        "host", "template", *[F.col(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")])
+        "host", "template", *[F.col(c).alias(f"all_{c}") for c in ("labelled", "blocked")])
     rest_labelled = F.col("all_labelled") - F.col("labelled")
     rest_blocked = F.col("all_blocked") - F.col("blocked")
     pooled = F.col("all_blocked") / F.col("all_labelled")
     error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest_labelled))
     gap = F.abs(F.col("blocked") / F.col("labelled") - rest_blocked / rest_labelled)
     similar = (F.col("labelled") > 0) & (rest_labelled > 0) & (gap <= Z * error)
-    weak = (F.col("n") < SUPPORT) | (F.col("n") < SHARE * F.col("all_n"))
-    step = branch.join(parent, ["host", "template"]).select(
-        "host", "template", level,
+    weak = F.col("n") < SUPPORT
+    step = pin(branch.join(parent, ["host", "template"]).select(
+        "host", "template", level, "labelled",
         F.when(F.col(level) == "", "").when(weak | F.coalesce(similar, F.lit(False)), "/*")
-        .otherwise(F.concat(F.lit("/"), F.col(level))).alias("step"))
+        .otherwise(F.concat(F.lit("/"), F.col(level))).alias("step")))
+    shared = step.where("step = '/*'").groupBy("host", "template").agg((F.sum("labelled") > 0).alias("told"))
+    apart = (F.col("step") == "/*") & (F.col("labelled") == 0) & F.col("told")
+    step = step.join(shared, ["host", "template"], "left").select(
+        "host", "template", level, F.when(apart, APART).otherwise(F.col("step")).alias("step"))
     return tree.join(pin(step), ["host", "template", level]).withColumn(
         "template", F.concat("template", "step")).drop("step")
 
@@ -102,7 +108,8 @@ def templates(parsed: DataFrame) -> DataFrame:
         "template", ((F.col("blocked") + SMOOTH / 2) / (F.col("labelled") + SMOOTH)).alias("anywhere")))
     own = pin(tree.groupBy("host", "template").agg(*_counts()).join(everywhere, "template").select(
         "host", "template", ((F.col("blocked") + SMOOTH * F.col("anywhere")) / (F.col("labelled") + SMOOTH)).alias("purity")))
-    return pin(tree.select("host", *LEVELS, "template").join(own, ["host", "template"]))
+    return pin(tree.select("host", *LEVELS, "template").join(own, ["host", "template"]).withColumn(
+        "template", F.replace("template", F.lit(APART), F.lit("/*"))))
 
 
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -67,5 +67,31 @@ def test_like_branches_are_merged(spark):
     assert templates["c"] == "/c/*" and templates["a"] in ("/a/*", "/*/*")
 
 
+def verdicts(spark, urls):
+    found = {}
+    for r in judged(pages(spark, urls)).collect():
+        found.setdefault(r.path.split("/")[1], set()).add((r.template, r.verdict))
+    return found
+
+
+def test_small_shares_of_a_large_host_are_not_merged(spark):
+    # each of the two has under 1% of the host's rows
+    urls = [f"https://example.com/de/{k}" for k in range(90)] + [f"https://example.com/about/{k}" for k in range(90)]
+    urls += [f"https://example.com/shop/{k}" for k in range(9_820)]
+    found = verdicts(spark, urls)
+    assert found == {"de": {("/de/*", "block")}, "about": {("/about/*", "allow")}, "shop": {("/shop/*", "allow")}}
+
+
+def test_unlabelled_branches_stand_apart_from_labelled_ones(spark):
+    # branches of too few rows: blocked by rule under /de/, without labels elsewhere; and pages that are numbers
+    urls = [f"https://{h}.example.com/de/{k}" for h in "abcdefgh" for k in range(4)]
+    urls += [f"https://{h}.example.com/about{s}/{k}" for h in "abcdefgh" for s in "xyz" for k in range(3)]
+    urls += [f"https://{h}.example.com/{k}/" for h in "abcdefgh" for k in range(9)]
+    found = verdicts(spark, urls)
+    assert found.pop("de") == {("/*/*", "block")}
+    assert set().union(*({v for _, v in x} for x in found.values())) == {"allow"}
+    assert found["aboutx"] == {("/*/*", "allow")} and found["3"] == {("/*", "allow")}
+
+
 def test_empty(spark):
     assert judged(pages(spark, [])).collect() == []
