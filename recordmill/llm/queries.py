@@ -16,6 +16,8 @@ from recordmill.llm.text import read_texts
 from recordmill.llm.toxicity import toxicity
 from recordmill.llm.url_filter import judged
 from recordmill.llm.warc import archived
+from recordmill.llm.word_runs import digests, with_periodic_tails, word_runs
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_texts(spark, f"{folder}/{name}.parquet")
@@ -67,8 +69,12 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged(_table(spark, folder, "pages"))
 
 
+def op11_word_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return digests(word_runs(with_periodic_tails(_table(spark, folder, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_simhash, op2_decontaminate, op3_licences, op4_exact_dedup, op5_packing, op6_warc, op7_toxicity,
-              op8_personal_data, op9_lm_scoring, op10_url_filter)
+              op8_personal_data, op9_lm_scoring, op10_url_filter, op11_word_runs)
 }
