@@ -98,6 +98,35 @@ def _word_runs() -> str:
         FROM text LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)"""
 
 
+def _divergence() -> str:
+    share = "1 + 1000000000::HUGEINT * ({n} + 1) // ({total} + kept)"
+    price = "({p} - {q}) * ({p} - {q}) // {q}"
+    return rf"""
+        WITH doc AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                       regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found FROM documents),
+        word AS (SELECT r, lang, source, unnest(list_transform(found, lambda t: {_lower('t')})) AS term FROM doc),
+        vocabulary AS (SELECT lang, term, count(*) AS lang_n FROM word GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+        grp AS (SELECT DISTINCT lang, source FROM doc),
+        langs AS (SELECT lang, count(term) AS kept, coalesce(sum(lang_n), 0) AS lang_total
+                  FROM (SELECT DISTINCT lang FROM grp) LEFT JOIN vocabulary USING (lang) GROUP BY 1),
+        n AS (SELECT lang, source, term, count(*) AS n FROM word SEMI JOIN vocabulary USING (lang, term) GROUP BY ALL),
+        total AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM grp LEFT JOIN n USING (lang, source) GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, v.term, coalesce(n, 0) AS n,
+                {share.format(n="coalesce(n, 0)", total="total")} AS p, {share.format(n="lang_n", total="lang_total")} AS q
+              FROM total g JOIN langs USING (lang) JOIN vocabulary v USING (lang)
+              LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = v.term),
+        pair AS (SELECT a.lang, a.source, b.source AS item, sum({price.format(p="a.p", q="b.p")}) AS value
+                 FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        both_parts AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+          FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, {price.format(p="p", q="q")} FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value::BIGINT AS value,
+          row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+        FROM both_parts QUALIFY part = 'pair' OR rank <= 200"""
+
+
 SQL: dict[str, str] = {
     "op3_licences": _licence_scan(),
     "op4_exact_dedup": f"""
@@ -107,4 +136,5 @@ SQL: dict[str, str] = {
         FROM n WINDOW w AS (PARTITION BY t)""",
     "op10_url_filter": _url_filter(),
     "op11_word_runs": _word_runs(),
+    "op12_divergence": _divergence(),
 }

@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recordmill.llm.decontaminate import contaminated
+from recordmill.llm.divergence import divergence
 from recordmill.llm.exact_dedup import exact_groups
 from recordmill.llm.language_model import scored
 from recordmill.llm.licence_scan import licence_scan
@@ -73,8 +74,13 @@ def op11_word_runs(spark: SparkSession, folder: str) -> DataFrame:
     return digests(word_runs(with_periodic_tails(_table(spark, folder, "documents"))))
 
 
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_simhash, op2_decontaminate, op3_licences, op4_exact_dedup, op5_packing, op6_warc, op7_toxicity,
-              op8_personal_data, op9_lm_scoring, op10_url_filter, op11_word_runs)
+              op8_personal_data, op9_lm_scoring, op10_url_filter, op11_word_runs,
+              op12_divergence)
 }
