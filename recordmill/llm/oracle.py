@@ -127,6 +127,21 @@ def _divergence() -> str:
         FROM both_parts QUALIFY part = 'pair' OR rank <= 200"""
 
 
+def _embedding_dedup() -> str:
+    return """
+        WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+        good AS (SELECT * FROM v WHERE len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+                   AND len(list_filter(x, lambda c: c <> 0)) > 0),
+        link AS (SELECT a.r, b.r AS other, b.vec_id FROM good a JOIN good b ON a.r <> b.r AND len(a.x) = len(b.x)
+                   AND list_cosine_similarity(a.x, b.x) >= 0.95::DOUBLE),
+        reach AS (SELECT r, r AS other, vec_id FROM v UNION
+                  SELECT reach.r, link.other, link.vec_id FROM reach JOIN link ON reach.other = link.r),
+        least AS (SELECT r, min(vec_id) AS component_id FROM reach GROUP BY r),
+        degree AS (SELECT r, count(*) AS n_links FROM link GROUP BY r)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM v JOIN least USING (r) LEFT JOIN degree USING (r)"""
+
+
 SQL: dict[str, str] = {
     "op3_licences": _licence_scan(),
     "op4_exact_dedup": f"""
@@ -137,4 +152,5 @@ SQL: dict[str, str] = {
     "op10_url_filter": _url_filter(),
     "op11_word_runs": _word_runs(),
     "op12_divergence": _divergence(),
+    "op13_embedding_dedup": _embedding_dedup(),
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recordmill.llm.decontaminate import contaminated
 from recordmill.llm.divergence import divergence
+from recordmill.llm.embedding_dedup import near_vectors
 from recordmill.llm.exact_dedup import exact_groups
 from recordmill.llm.language_model import scored
 from recordmill.llm.licence_scan import licence_scan
@@ -78,9 +79,13 @@ def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence(_table(spark, folder, "documents"))
 
 
+def op13_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_simhash, op2_decontaminate, op3_licences, op4_exact_dedup, op5_packing, op6_warc, op7_toxicity,
               op8_personal_data, op9_lm_scoring, op10_url_filter, op11_word_runs,
-              op12_divergence)
+              op12_divergence, op13_embedding_dedup)
 }
