@@ -34,24 +34,22 @@ def _url_filter() -> str:
         f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name}'"
         for r in sorted(urls.RULES, key=lambda r: (len(r.name), r.name), reverse=True))
     block = ", ".join(_quoted(r.name) for r in urls.RULES if r.verdict == "block")
-    segments = ", ".join(
-        f"regexp_replace(coalesce(string_split(path, '/')[{k + 1}], ''), '[0-9a-f]{{8,}}|[0-9]+', '*', 'g') AS {s}"
-        for k, s in enumerate(urls.LEVELS, 1))
-    levels = ", ".join(urls.LEVELS)
+    names = [f"s{k}" for k in range(1, 9)]
+    parts = [f"string_split(path, '/')[{k + 1}]" for k in range(1, 8)] + ["array_to_string(string_split(path, '/')[9:], '/')"]
+    segments = ", ".join(f"regexp_replace(coalesce({part}, ''), '[0-9a-f]{{8,}}|[0-9]+', '*', 'g') AS {s}"
+                         for s, part in zip(names, parts, strict=True))
+    levels = ", ".join(names)
     sums = "sum(n)::DOUBLE AS n, sum(l)::DOUBLE AS l, sum(b)::DOUBLE AS b"
     steps = []
-    for k, s in enumerate(urls.LEVELS, 1):
+    for k, s in enumerate(names, 1):
         steps.append(f"""
         b{k} AS (SELECT host, template, {s}, {sums} FROM t{k - 1} GROUP BY ALL),
-        a{k} AS (SELECT *, sum(n) OVER w AS an, sum(l) OVER w AS al, sum(b) OVER w AS ab FROM b{k}
-                 WINDOW w AS (PARTITION BY host, template)),
-        d{k} AS (SELECT host, template, {s}, CASE WHEN {s} = '' THEN ''
-                   WHEN n < {urls.SUPPORT} OR n < {urls.SHARE}::DOUBLE * an THEN '/*'
-                   WHEN l > 0 AND al - l > 0 THEN CASE WHEN abs(b / l - (ab - b) / (al - l))
-                     <= {urls.Z}::DOUBLE * sqrt(ab / al * (1 - ab / al) * (1 / l + 1 / (al - l))) THEN '/*' ELSE '/' || {s} END
-                   ELSE '/' || {s} END AS step FROM a{k}),
-        t{k} AS (SELECT t.* EXCLUDE (template), template || step AS template
-                 FROM t{k - 1} t JOIN d{k} USING (host, template, {s}))""")
+        a{k} AS (SELECT *, sum(l) OVER w AS al, sum(b) OVER w AS ab FROM b{k} WINDOW w AS (PARTITION BY host, template)),
+        m{k} AS (SELECT *, l > 0 AND (n < 5 OR (al > l AND abs(b / l - (ab - b) / (al - l))
+                   <= 1.96::DOUBLE * sqrt(ab / al * (1 - ab / al) * (1 / l + 1 / (al - l))))) AS merged FROM a{k}),
+        t{k} AS (SELECT t.* EXCLUDE (template), template || CASE WHEN {s} = '' THEN ''
+                   WHEN merged THEN '/?*' WHEN g.l = 0 AND g.n < 5 THEN '/?' ELSE '/' || {s} END AS template
+                 FROM t{k - 1} t JOIN m{k} g USING (host, template, {s}))""")
     return f"""
         WITH u AS (SELECT page_id, {_lower(f"regexp_extract(coalesce(url, ''), '{urls.URL}', 1)")} AS host,
                      regexp_extract(coalesce(url, ''), '{urls.URL}', 2) AS path FROM pages),
@@ -59,14 +57,11 @@ def _url_filter() -> str:
         s AS (SELECT *, {segments}, CASE WHEN rule IN ({block}) THEN 1 WHEN rule IS NOT NULL THEN 0 END AS label FROM r),
         t0 AS (SELECT host, {levels}, count(*) AS n, count(label) AS l, coalesce(sum(label), 0) AS b, '' AS template
                FROM s GROUP BY ALL),{','.join(steps)},
-        e AS (SELECT template, (sum(b)::DOUBLE + {urls.SMOOTH / 2}::DOUBLE) / (sum(l)::DOUBLE + {urls.SMOOTH}::DOUBLE) AS anywhere
-              FROM t{len(steps)} GROUP BY 1),
-        o AS (SELECT host, template, (sum(b)::DOUBLE + {urls.SMOOTH}::DOUBLE * any_value(anywhere))
-                / (sum(l)::DOUBLE + {urls.SMOOTH}::DOUBLE) AS purity
-              FROM t{len(steps)} JOIN e USING (template) GROUP BY 1, 2)
+        o AS (SELECT host, template, (sum(b)::DOUBLE + 2.5::DOUBLE) / (sum(l)::DOUBLE + 5::DOUBLE) AS purity FROM t8 GROUP BY 1, 2)
         SELECT page_id, host, path, rule, CASE WHEN label = 1 THEN 'block' WHEN label = 0 THEN 'allow'
-          WHEN purity >= {urls.REJECT}::DOUBLE THEN 'block' ELSE 'allow' END AS verdict, template, purity
-        FROM s JOIN t{len(steps)} t USING (host, {levels}) JOIN o USING (host, template)"""
+          WHEN purity >= 0.7::DOUBLE THEN 'block' ELSE 'allow' END AS verdict,
+          replace(replace(template, '/?*', '/*'), '/?', '/*') AS template, purity
+        FROM s JOIN t8 t USING (host, {levels}) JOIN o USING (host, template)"""
 
 
 def _word_runs() -> str:

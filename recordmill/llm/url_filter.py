@@ -1,12 +1,12 @@
 """Verdicts on URLs: rules where one fits, and a tree of path templates learnt from them elsewhere.
 
-The rules' verdicts are the labels. Per host the first ``DEPTH`` path segments make a tree. A
-segment of digits or hexadecimal signs becomes a wildcard at once; then, level by level, so
-does a branch of under ``SUPPORT`` rows, and a branch whose share of blocked labels does not
-differ significantly from its siblings' is merged with them. Labels say nothing of a branch without
-any, so in a wildcard that holds labelled siblings those without stand apart. A template's
-purity is its blocked share of labels, smoothed with the same template on all hosts, and that with one
-half; templates above ``REJECT`` are blocked. Everything is aggregates and joins over templates.
+The rules' verdicts are the labels. The path segments of each host make a tree (what lies behind the
+seventh segment is one more, so whole paths count). A segment of digits or hexadecimal signs becomes
+a wildcard at once. Then, level by level, labelled branches are merged into a wildcard where their share of
+blocked labels does not differ significantly from their siblings', or where they have under ``SUPPORT`` rows.
+Labels say nothing of a branch without any, so those stand apart, small ones together. A template's purity is the blocked share of its own labels on its own host,
+smoothed with one half; templates from ``REJECT`` on are blocked, so one without labels never is.
+Everything is aggregates and joins over templates.
 """
 
 from dataclasses import dataclass
@@ -17,14 +17,13 @@ from pyspark.sql import functions as F
 from recordmill.llm.text import ascii_lower
 from recordmill.plans.pins import pin
 
-DEPTH = 3
+DEPTH = 8
 SUPPORT = 5
-SHARE = 0.01  # only for the SQL in `oracle.py`, which still merges branches of a smaller share
 Z = 1.96
 SMOOTH = 5.0
 REJECT = 0.7
 LEVELS = [f"s{k}" for k in range(1, DEPTH + 1)]
-APART = "/?"  # a wildcard of branches without labels beside labelled ones; no path holds a question mark
+MERGED, APART = "/?*", "/?"  # wildcards of labelled branches, and of small ones without labels; no path holds a question mark
 
 
 @dataclass(frozen=True)
@@ -62,10 +61,11 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
     return found
 
 
-def segment(path: Column, k: int) -> Column:
-    """The path's ``k``-th segment with runs of digits and long hexadecimal runs as ``*``; empty where there is none."""
-    part = F.coalesce(F.try_element_at(F.split(path, "/"), F.lit(k + 1)), F.lit(""))
-    return F.regexp_replace(part, "[0-9a-f]{8,}|[0-9]+", "*")
+def segment(path: Column, k: int, last: bool = False) -> Column:
+    """The path's ``k``-th segment (``last``: and all behind it) with runs of digits and long hexadecimal runs as ``*``."""
+    parts = F.split(path, "/")
+    part = F.array_join(F.slice(parts, k + 1, 1 << 30), "/") if last else F.try_element_at(parts, F.lit(k + 1))
+    return F.regexp_replace(F.coalesce(part, F.lit("")), "[0-9a-f]{8,}|[0-9]+", "*")
 
 
 def _counts() -> list[Column]:
@@ -73,7 +73,7 @@ def _counts() -> list[Column]:
 
 
 def _generalised(tree: DataFrame, level: str) -> DataFrame:
-    """``tree`` with its next level added to ``template``: the branch, or ``*`` where it is weak or like its siblings."""
+    """``tree`` with its next level added to ``template``: the branch, or a wildcard where it is weak or like its siblings."""
     branch = tree.groupBy("host", "template", level).agg(*_counts())
     parent = branch.groupBy("host", "template").agg(*_counts()).select(
         "host", "template", *[F.col(c).alias(f"all_{c}") for c in ("labelled", "blocked")])
@@ -82,34 +82,31 @@ def _generalised(tree: DataFrame, level: str) -> DataFrame:
     pooled = F.col("all_blocked") / F.col("all_labelled")
     error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest_labelled))
     gap = F.abs(F.col("blocked") / F.col("labelled") - rest_blocked / rest_labelled)
-    similar = (F.col("labelled") > 0) & (rest_labelled > 0) & (gap <= Z * error)
-    weak = F.col("n") < SUPPORT
-    step = pin(branch.join(parent, ["host", "template"]).select(
-        "host", "template", level, "labelled",
-        F.when(F.col(level) == "", "").when(weak | F.coalesce(similar, F.lit(False)), "/*")
-        .otherwise(F.concat(F.lit("/"), F.col(level))).alias("step")))
-    shared = step.where("step = '/*'").groupBy("host", "template").agg((F.sum("labelled") > 0).alias("told"))
-    apart = (F.col("step") == "/*") & (F.col("labelled") == 0) & F.col("told")
-    step = step.join(shared, ["host", "template"], "left").select(
-        "host", "template", level, F.when(apart, APART).otherwise(F.col("step")).alias("step"))
+    told, weak = F.col("labelled") > 0, F.col("n") < SUPPORT
+    similar = F.when(told & (rest_labelled > 0), gap <= Z * error).otherwise(False)
+    merged = told & (similar | weak)
+    name = (
+        F.when(F.col(level) == "", "").when(merged, MERGED)
+        .when(~told & weak, APART).otherwise(F.concat(F.lit("/"), F.col(level))))
+    step = branch.join(parent, ["host", "template"]).select("host", "template", level, name.alias("step"))
     return tree.join(pin(step), ["host", "template", level]).withColumn(
         "template", F.concat("template", "step")).drop("step")
 
 
 def templates(parsed: DataFrame) -> DataFrame:
-    """``(host, s1.., template, purity)`` for each different host and first segments of ``parsed``."""
+    """``(host, s1.., template, purity)`` for each different host and path of ``parsed``."""
     tree = parsed.groupBy("host", *LEVELS).agg(
         F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"),
         F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"))
     tree = pin(tree.withColumn("template", F.lit("")))
+    used = tree.agg(*[F.max(F.col(level) != "").alias(level) for level in LEVELS]).first()
     for level in LEVELS:
-        tree = pin(_generalised(tree, level))
-    everywhere = pin(tree.groupBy("template").agg(*_counts()).select(
-        "template", ((F.col("blocked") + SMOOTH / 2) / (F.col("labelled") + SMOOTH)).alias("anywhere")))
-    own = pin(tree.groupBy("host", "template").agg(*_counts()).join(everywhere, "template").select(
-        "host", "template", ((F.col("blocked") + SMOOTH * F.col("anywhere")) / (F.col("labelled") + SMOOTH)).alias("purity")))
-    return pin(tree.select("host", *LEVELS, "template").join(own, ["host", "template"]).withColumn(
-        "template", F.replace("template", F.lit(APART), F.lit("/*"))))
+        if used[level]:  # no path is deeper
+            tree = pin(_generalised(tree, level))
+    own = pin(tree.groupBy("host", "template").agg(*_counts()).select(
+        "host", "template", ((F.col("blocked") + SMOOTH / 2) / (F.col("labelled") + SMOOTH)).alias("purity")))
+    shown = F.replace(F.replace("template", F.lit(MERGED), F.lit("/*")), F.lit(APART), F.lit("/*"))
+    return pin(tree.select("host", *LEVELS, "template").join(own, ["host", "template"]).withColumn("template", shown))
 
 
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -122,7 +119,7 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     url = F.col("url").cast("string")
     parsed = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     parsed = parsed.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumns(
-        {level: segment(F.col("path"), k) for k, level in enumerate(LEVELS, 1)})
+        {level: segment(F.col("path"), k, k == DEPTH) for k, level in enumerate(LEVELS, 1)})
     labelled = parsed.withColumn("label", F.when(F.col("rule").isNotNull(), F.col("rule").isin(block).cast("int")))
     known = templates(labelled)
     verdict = F.when(F.col("label") == 1, "block").when(F.col("label") == 0, "allow").when(

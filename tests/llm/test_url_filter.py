@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from recordmill.llm.url_filter import RULES, Rule, host_of, judged, path_of, rule_of, segment
@@ -47,16 +50,86 @@ def test_segments(spark):
     assert tuple(row) == ("en", "post-*", "*.html", "x", "", "", "")
 
 
-def test_templates_learn_from_labels(spark):
-    urls = [f"https://s.example.com/de/{k}" for k in range(60)]  # blocked by a rule
-    urls += [f"https://a.example.net/en/{k}" for k in range(60)]  # allowed by a rule
-    urls += [f"https://other.test/de/{k}" for k in range(20)] + [f"https://other.test/en/{k}" for k in range(20)]
-    urls += [f"https://other.test/new{k}/" for k in range(30)]
-    found = judged(pages(spark, urls)).where("host = 'other.test'").collect()
-    by = {}
-    for r in found:
-        by.setdefault(r.template, set()).add(r.verdict)
-    assert by["/de/*"] == {"block"} and by["/en/*"] == {"allow"} and by["/new*"] == {"allow"}
+def test_templates_learn_from_the_labels_of_their_own_host(spark):
+    rules = (Rule("block", "mixed.test", "/spam1/"), Rule("block", "mixed.test", "/spam2/"), Rule("allow", "mixed.test", "/spam2/ok/"))
+    urls = [f"https://mixed.test/{s}/{w}/" for s in ("spam1", "spam2") for w in ("a", "b", "ok") for _ in range(20)]
+    # numbers are one branch: some of its pages fit a rule, the others follow them
+    rules += tuple(Rule("block", "mixed.test", f"/shop/{k}/") for k in range(8))
+    urls += [f"https://mixed.test/shop/{k}/" for k in range(10)] + [f"https://mixed.test/blog/{k}/" for k in range(10)]
+    # another host with the same paths and no labels is left alone
+    urls += [f"https://clean.test/{s}/{w}/" for s in ("shop", "spam1") for w in (1, 2, 3, "a") for _ in range(9)]
+    got = {}
+    for r in judged(pages(spark, urls), rules).collect():
+        got.setdefault((r.host, r.path.split("/")[1]), set()).add((r.verdict, r.rule is not None))
+    assert got["mixed.test", "shop"] == {("block", True), ("block", False)}
+    assert got["mixed.test", "blog"] == {("allow", False)}
+    assert got["clean.test", "shop"] == got["clean.test", "spam1"] == {("allow", False)}
+
+
+def test_deep_paths_count_whole(spark):
+    deep = "/a/b/c/d/e/f/g/"
+    rules = (Rule("block", "deep.test", deep + "bad/x/"), Rule("allow", "deep.test", deep + "good/"))
+    urls = [f"https://deep.test{deep}{w}/{x}/{k}" for w, x in (("bad", "x"), ("good", "x"), ("bad", "y")) for k in range(40)]
+    got = {}
+    for r in judged(pages(spark, urls), rules).collect():
+        got.setdefault(tuple(r.path.split("/")[8:10]), set()).add(r.verdict)
+    assert got == {("bad", "x"): {"block"}, ("good", "x"): {"allow"}, ("bad", "y"): {"allow"}}
+
+
+def tree_by_hand(rows):
+    """Templates and purities of (host, segments, label) rows, group by group."""
+    at = {k: "" for k in range(len(rows))}
+    for level in range(8):
+        groups = {}
+        for k, (host, parts, _) in enumerate(rows):
+            groups.setdefault((host, at[k]), {}).setdefault(parts[level], []).append(k)
+        for branches in groups.values():
+            labels = {s: [rows[k][2] for k in ks if rows[k][2] is not None] for s, ks in branches.items()}
+            whole, merged = [x for ls in labels.values() for x in ls], set()
+            for s, ls in labels.items():
+                if s and ls:
+                    rest_n, rest_b = len(whole) - len(ls), sum(whole) - sum(ls)
+                    pooled = sum(whole) / len(whole)
+                    like = rest_n and abs(sum(ls) / len(ls) - rest_b / rest_n) <= 1.96 * (
+                        pooled * (1 - pooled) * (1 / len(ls) + 1 / rest_n)) ** 0.5
+                    if like or len(branches[s]) < 5:
+                        merged.add(s)
+            for s, ks in branches.items():
+                step = "/" + s
+                if not s:
+                    step = ""
+                elif s in merged:
+                    step = "/?*"
+                elif not labels[s] and len(ks) < 5:
+                    step = "/?"
+                for k in ks:
+                    at[k] += step
+    owns = {}
+    for k, (host, _, label) in enumerate(rows):
+        owns.setdefault((host, at[k]), []).append(label)
+    purity = {key: (sum(x or 0 for x in ls) + 2.5) / (sum(x is not None for x in ls) + 5) for key, ls in owns.items()}
+    return [(at[k].replace("/?*", "/*").replace("/?", "/*"), purity[rows[k][0], at[k]]) for k in range(len(rows))]
+
+
+def test_the_tree_is_that_of_the_definition(spark):
+    rng = random.Random(6)
+    rules = tuple(Rule(rng.choice(["allow", "block"]), h, f"/{a}/{b}") for h in ("x.test", "y.test") for a in "abcd"
+                  for b in ("", "p", "q/r") if rng.random() < 0.6)
+    urls = ["http://" + rng.choice(["x.test", "y.test", "z.test"]) + "".join(
+        "/" + rng.choice(["a", "b", "c", "d", "p", "q", "r", "17", "", f"u{k % 3}v"]) for _ in range(rng.choice([1, 2, 2, 3, 4, 10])))
+        for k in range(900)]
+    found = sorted((r.host, r.path, r.template, round(r.purity, 9)) for r in judged(pages(spark, urls), rules).collect())
+    rows, names = [], []
+    for url in urls:
+        host, path = url[7:].split("/", 1)
+        path = "/" + path
+        fit = [r for r in rules if host == r.host and path.startswith(r.path)]
+        best = max(fit, key=lambda r: (len(r.name), r.name), default=None)
+        parts = path.split("/")[1:]
+        parts = [*parts[:7], "/".join(parts[7:])] if len(parts) > 7 else parts + [""] * (8 - len(parts))
+        rows.append((host, [re.sub("[0-9a-f]{8,}|[0-9]+", "*", x) for x in parts], best and int(best.verdict == "block")))
+        names.append((host, path))
+    assert found == sorted((*n, t, round(p, 9)) for n, (t, p) in zip(names, tree_by_hand(rows), strict=True))
 
 
 def test_like_branches_are_merged(spark):
