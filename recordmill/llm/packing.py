@@ -11,7 +11,6 @@ pieces have is not one task's work, and the number tells a piece its place.
 """
 
 import os
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,35 +23,40 @@ from pyspark.sql import functions as F
 from recordmill.plans.pins import pin
 
 CAPACITY = 2048
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
+SLICE_ROWS = 1_000_000
 END = b"\0\0\0\0"
 
 Pattern = tuple[dict[int, int], int]  # {length: pieces of it}, number of such sequences
 
 
-WORDS = re.compile(r"[^ \t-\r]+")
-
-
 class WordTokens(dict):
-    """Token ids of white-space separated words, as little-endian 32-bit integers.
+    """Token ids of white-space separated words (bytes, A-Z lower-cased), as little-endian 32-bit integers.
 
-    For byte-pair tokenizers that drop white space, cut letters from other characters and mark
+    For byte-pair tokenizers that lower-case, drop white space, cut letters from other characters and mark
     the last token of each part with a suffix. What such a tokenizer makes of a word does not
     depend on its neighbours. Words met for the first time are encoded many at once: words of
     letters alone are one part each, so their tokens end at the suffix; the others are encoded
-    one by one. Of bounded size.
+    one by one. Holds ``most`` words; beyond that only those of the texts at hand stay.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = CACHE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core already
         from tokenizers import Tokenizer
 
+        self._most = most
         self._tokenizer = Tokenizer.from_file(path)
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
         suffix = getattr(self._tokenizer.model, "end_of_word_suffix", None)
         self._last = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
             self._last[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
+        self._added = [x.content.lower().encode() for x in self._tokenizer.get_added_tokens_decoder().values()]
+
+    def _lowered(self, text: bytes) -> bytes:
+        """A-Z in lower case, as the tokenizer would; not where that might make a special token of its own text."""
+        lowered = text.lower()
+        return text if any(token in lowered for token in self._added) else lowered
 
     def _batch(self, texts: list[str]) -> list[np.ndarray]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -70,35 +74,59 @@ class WordTokens(dict):
                 found |= zip(group, (x.tobytes() for x in self._batch(group)), strict=True)
         return found
 
-    def _many(self, words: list[str]) -> dict[str, bytes]:
-        ended = {w for w in words if w[-1] in ".," and w[:-1].isalpha()}
-        letters = {w[:-1] if w in ended else w for w in words if w in ended or w.isalpha()}
-        others = [w for w in words if w not in ended and w not in letters] + [".", ","]
-        found = dict(zip(others, (x.tobytes() for x in self._batch(others)), strict=True))
-        found |= self._letters(list(letters))
-        return found | {w: found[w[:-1]] + found[w[-1]] for w in ended}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [WORDS.findall(t) for t in texts]
-        new = self._many(list({w for words in split for w in words if w not in self}))
-        if len(self) + len(new) > CACHE_WORDS:
-            known = self.get
-            return [b"".join([known(w) or new.get(w, b"") for w in words]) for words in split]
-        self.update(new)
+    def _learn(self, words: set[bytes]) -> None:
+        """Adds ``words``; a word that ends in a full stop or comma is its letters and that sign."""
+        ended, letters, others = {}, set(), [".", ","]
+        for word in words:
+            text = word.decode("utf-8", "surrogatepass")
+            if text[-1] in ".," and text[:-1].isalpha():
+                ended[word] = text
+                if word[:-1] not in self:
+                    letters.add(text[:-1])
+            elif text.isalpha():
+                letters.add(text)
+            else:
+                others.append(text)
+        found = dict(zip(others, (x.tobytes() for x in self._batch(others)), strict=True)) | self._letters(list(letters))
+        self.update((text.encode("utf-8", "surrogatepass"), ids) for text, ids in found.items())
+        self.update((word, self[word[:-1]] + found[text[-1]]) for word, text in ended.items())
+
+    def encode(self, texts: list[bytes | str]) -> list[bytes]:
+        raw = (t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t for t in texts)
+        split = [self._lowered(t).split() for t in raw]  # of bytes: ASCII white space only
+        here = set().union(*split)
+        new = here - self.keys()
+        if len(self) + len(new) > self._most:
+            stay = {word: self[word] for word in here - new}
+            self.clear()
+            self.update(stay)
+        if new:
+            self._learn(new)
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
+def word_tokens(path: str) -> WordTokens:
+    """The words this worker process knows already, from earlier tasks too; kept with the module that tokenises."""
+    import tokenizers
+
+    held = vars(tokenizers).setdefault("_words_by_path", {})
+    if path not in held:
+        held.clear()
+        held[path] = WordTokens(path)
+    return held[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: documents as token ids and an end, cut after ``capacity``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer)
+        tokens = word_tokens(tokenizer)
         for part in parts:
             for k in range(0, part.num_rows, 512):
                 some = part.slice(k, 512)
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(tokens.encode([t.as_py() or "" for t in some.column(1)])):
+                for i, ids in enumerate(tokens.encode([t.as_py() or b"" for t in some.column(1)])):
                     ids += END
                     for j in range(0, len(ids), 4 * capacity):
                         cut = ids[j : j + 4 * capacity]
@@ -112,7 +140,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                      *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                     ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(
+    return docs.select("doc_id", F.col("text").cast("string").cast("binary")).mapInArrow(
         batches, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
@@ -145,14 +173,14 @@ class ComplementIndex:
                 return (*used, a, total - a)
         return None
 
-    def fill(self, length: int, gap: int) -> tuple[int, ...] | None:
-        """``length`` and what fills ``gap`` beside it, the longest pieces first; None if nothing does."""
+    def fill(self, length: int, gap: int, most: int = 3) -> tuple[int, ...] | None:
+        """``length`` and up to ``most`` pieces that fill ``gap`` beside it, the longest first; None if nothing does."""
         self._refresh()
         if self._there[gap] and self._fits((length, gap)):
             return length, gap
-        if gap >= 2 and self._pairs[gap] and (found := self._two(gap, (length,))):
+        if most >= 2 and gap >= 2 and self._pairs[gap] and (found := self._two(gap, (length,))):
             return found
-        if gap >= 3:
+        if most >= 3 and gap >= 3:
             for a in (np.flatnonzero(self._there[1 : gap - 1] & self._pairs[gap - 1 : 1 : -1]) + 1)[::-1].tolist():
                 if 3 * a < gap:
                     break
@@ -161,8 +189,8 @@ class ComplementIndex:
         return None
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
-    """Sequences for pieces of the given lengths (1 to ``capacity``), as patterns and how often each is made."""
+def _filled(histogram: dict[int, int], capacity: int, sizes: list[int]) -> list[Pattern]:
+    """Exact complements of up to ``sizes[k]`` pieces in round k, longest pieces first; best fit for what is left."""
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] += n
@@ -178,12 +206,24 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     if counts[capacity]:
         take((capacity,))
     index = ComplementIndex(counts)
-    for length in range(capacity - 1, 0, -1):
-        while counts[length] and (found := index.fill(length, capacity - length)):
-            take(found)
+    for most in sizes:
+        for length in range(capacity - 1, 0, -1):
+            while counts[length] and (found := index.fill(length, capacity - length, most)):
+                take(found)
     return patterns + best_fit({int(x): int(counts[x]) for x in np.flatnonzero(counts)}, capacity)
 
 
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
+    """Sequences for pieces of the given lengths (1 to ``capacity``), as patterns and how often each is made.
+
+    Complements of one, two and three pieces take from each other, and short pieces used up early leave long ones that
+    pair badly. So the histogram is planned in several orders (all sizes at once, small sizes first, few sizes,
+    none), and the plan with the fewest sequences counts.
+    """
+    orders = ([3], [1, 2, 3], [1, 2], [1], [])
+    return min((_filled(histogram, capacity, sizes) for sizes in orders), key=lambda made: sum(many for _, many in made))
+
+
 def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     """Best fit, longest first: a piece goes to the open sequence that it leaves the smallest gap in."""
     open_by_gap: dict[int, list[list]] = {}  # gap -> [[{length: pieces}, sequences], ...]
@@ -262,7 +302,8 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     rows = pin(pieces(docs, tokenizer, capacity).withColumn("row", F.monotonically_increasing_id()))
     histogram = {r.length: r.n for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     shared = spark.sparkContext.broadcast(places(plan(histogram, capacity)))  # bounded by the number of lengths
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many as the most frequent length needs
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), max(histogram.values(), default=0) // SLICE_ROWS + 1)
     wide = numbered(rows, slices).select("doc_id", "piece", "start", "length", "ids_crc32", "number")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

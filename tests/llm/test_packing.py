@@ -36,6 +36,32 @@ def test_exact_complements_are_used():
     assert plan({}, 40) == []
 
 
+@pytest.mark.parametrize("kind", ["any", "few", "short", "long"])
+def test_never_more_sequences_than_best_fit_alone(kind):
+    rng = np.random.default_rng(9)
+    lengths = {"any": range(1, 2049), "few": range(1, 2049), "short": range(1, 400), "long": range(700, 2049)}[kind]
+    most = {"any": 10**6, "few": 4, "short": 10**4, "long": 50}[kind]
+    histogram = {n: int(k) for n, k in zip(lengths, rng.integers(0, most, len(lengths)), strict=True) if k}
+    made, plain = (sum(m for _, m in how(histogram, 2048)) for how in (plan, best_fit))
+    assert -(-sum(n * k for n, k in histogram.items()) // 2048) <= made <= plain
+
+
+def test_words_are_forgotten_and_learnt_again():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdé") * rng.randint(1, 30) + rng.choice(["", ".", ","]) for _ in range(60)) for _ in range(20)]
+    whole, small = WordTokens(PATH), WordTokens(PATH, most=10)
+    for k in range(0, 20, 4):
+        assert small.encode(texts[k : k + 4]) == whole.encode(texts[k : k + 4])
+    assert len(small) < len(whole)
+
+
+def test_capitals_do_not_make_special_tokens():
+    texts = ["A <|ENDOFTEXT|> B", "x<|EndOfText|>", "THE End", "I\u0307 \u0130 K \u212a ΑΣ"]
+    want = [np.array(e.ids, np.uint32).tobytes()
+            for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert WordTokens(PATH).encode(texts) == want
+
+
 def test_tokens_as_by_the_tokenizer():
     rng = random.Random(7)
     odd = ["don't", "we'll", "İstanbul", "ﬁ", "x<|endoftext|>y", "<|startoftext|>", "a\u0085d", "é", "12345", "!!??..",
