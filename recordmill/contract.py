@@ -91,8 +91,8 @@ RECORD_BAD_EMAIL = 'A valid email is required to sync a Contact (got "{value}")'
 RECORD_NO_DEAL_NAME = "deal_name is required to sync a Deal"
 RECORD_NO_PRODUCT_NAME = "product_name is required to sync a Line Item"
 RECORD_BAD_CLOSE_DATE = "close_date could not be parsed and was omitted"
-NO_PARENT = "No linked {table} record found"
-PARENT_FAILED = "Parent record failed to sync"
+NO_PARENT = "No linked {table} record found (link fields: {links}; {key}=\"{value}\")"
+PARENT_FAILED = "Parent {parent} failed to sync: {value}"
 NOT_MIGRATED_FROM = "{type} record was not migrated"
 NOT_MIGRATED_TO = "{type} record {value} was not migrated"
 EDGE_LABELS = {

@@ -1,10 +1,13 @@
 """Which target record is a source row? Existing ones by three tiers, new ones by a stable id."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordmill import contract as C
-from recordmill.operators.lookup import first_by, lookup
+from recordmill.operators.lookup import first_by, lookup, relevant
+from recordmill.plans.pins import pin
 
 
 def new_id(external_id: Column, salt: str = "") -> Column:
@@ -49,21 +52,48 @@ def three_tiers(rows: DataFrame, target: DataFrame, natural: str | None) -> Data
     ).drop("_t1", "_t2", "_t3")
 
 
-def resolve(rows: DataFrame, target: DataFrame, natural: str | None, salt: str = "") -> DataFrame:
+def free_ids(new: DataFrame, taken: Callable[[DataFrame], DataFrame], salt: str) -> DataFrame | None:
+    """``(external_id, id)`` of the external ids whose own id is taken, with the first free id; None if there are none.
+
+    ``new`` holds external ids, ``taken`` gives those of some ids (column ``id``) that exist. Candidates are
+    derived from the external id, then with ``salt``, then with salt and a number. Each
+    round asks for the rows whose last candidate was taken, usually none after the first.
+    """
+    found: DataFrame | None = None
+    left, turn = new.select("external_id").where(F.col("external_id").isNotNull()).distinct(), 0
+    while True:
+        extra = "" if turn == 0 else f"@{salt}" if turn == 1 else f"@{salt}#{turn}"
+        tried = left.select("external_id", new_id(F.col("external_id"), extra).alias("id"))
+        tried = tried if turn == 0 else pin(tried)
+        held = pin(tried.join(taken(tried.select("id")).distinct(), "id", "left_semi"))
+        if turn:
+            free = tried.join(held, ["external_id", "id"], "left_anti")
+            found = free if found is None else found.unionByName(free)
+        if held.isEmpty():
+            return found
+        left, turn = held, turn + 1
+
+
+def resolve(rows: DataFrame, target: DataFrame, natural: str | None, salt: str = "",
+            taken: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Adds ``target_id``, ``action`` and ``matched_by`` to rows with one row per record.
 
     New rows that share a natural key become one record: the first of them in
     ``seq`` creates it, the others adopt it. An id that a re-stamped record
-    already holds is derived once more, with ``salt`` (the batch).
+    already holds is derived again, with ``salt`` (the batch) and then numbers, until it is free.
+    ``taken`` tells which ids exist where ``target`` is only a part of the target.
     """
-    matched = three_tiers(rows, target, natural)
+    taken = taken or (lambda ids: relevant(target.select("id"), "id", ids))
+    matched = pin(three_tiers(rows, target, natural))
     is_open = F.col("existing_id").isNull()
     own = new_id(F.col("external_id"))
-    checked = lookup(matched, target, F.when(is_open, own), "id", {"_taken": "id"}, ["record_id"],
-                     (rows, own))
-    checked = checked.withColumn(
-        "_own", F.when(F.col("_taken").isNull(), own).otherwise(new_id(F.col("external_id"), f"@{salt}"))
-    )
+    other = free_ids(matched.where(is_open), taken, salt)
+    if other is None:
+        checked = matched.withColumn("_own", own)
+    else:
+        checked = lookup(matched, other.withColumnRenamed("external_id", "_external"), F.when(is_open, F.col("external_id")),
+                         "_external", {"_free": "id"}, ["record_id"])
+        checked = checked.withColumn("_own", F.coalesce("_free", own)).drop("_free")
     if natural:
         leaders = first_by(checked.where(is_open), F.col("natural_key"), ["seq", "record_id"], ["external_id", "_own"])
         led = lookup(checked, leaders, F.when(is_open, F.col("natural_key")), "first_key",
@@ -79,7 +109,7 @@ def resolve(rows: DataFrame, target: DataFrame, natural: str | None, salt: str =
         .withColumn(
             "matched_by", F.when(follows, F.lit(C.BY_NATURAL_KEY)).otherwise(F.col("matched_by"))
         )
-        .drop("_taken", "_own", "_leader", "_led", "existing_id")
+        .drop("_own", "_leader", "_led", "existing_id")
     )
 
 

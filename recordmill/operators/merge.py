@@ -14,7 +14,7 @@ def fold_changes(rows: DataFrame, object_type: str, order: tuple[str, ...] = ("s
     """One change per target record: of each property the last value given, in ``order``.
 
     ``order`` names columns that leave no ties, so that a retry gives the same. Expects
-    ``target_id`` and ``props``. An aggregate, so that a record with very
+    ``target_id`` and ``props``; a row without a target changes nothing. An aggregate, so that a record with very
     many changes is combined before the shuffle.
     """
     names = [*C.PROPERTIES[object_type], *C.STAMPS]
@@ -22,7 +22,7 @@ def fold_changes(rows: DataFrame, object_type: str, order: tuple[str, ...] = ("s
         F.max_by(f"props.{name}", F.when(F.col(f"props.{name}").isNotNull(), F.struct(*order))).alias(name)
         for name in names
     ]
-    return rows.groupBy(F.col("target_id").alias("id")).agg(*last)
+    return rows.where(F.col("target_id").isNotNull()).groupBy(F.col("target_id").alias("id")).agg(*last)
 
 
 def merge(target: DataFrame, changes: DataFrame, object_type: str, how: str = "full") -> DataFrame:

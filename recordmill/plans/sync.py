@@ -8,6 +8,7 @@ serves a batch job, a rescan and every micro-batch of a stream.
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from recordmill import contract as C
 from recordmill.functions import first_link, message
 from recordmill.operators import edges as E
 from recordmill.operators import merge as M
+from recordmill.operators.batches import numbered_batches
 from recordmill.operators.identity import find_parents, resolve
 from recordmill.operators.lookup import lookup, relevant
 from recordmill.operators.mapping import RECORD_SPECS, RecordSpec
@@ -27,7 +29,31 @@ from recordmill.sources.records import modified_since
 #: No retry changes these.
 PERMANENT_CODES = (C.VALIDATION_ERROR, C.MISSING_REFERENCE)
 SPECS = {s.entity: s for s in RECORD_SPECS}
-Targets = Callable[[str, DataFrame], DataFrame]
+class Targets(Protocol):
+    """A target of which only the part that some rows may match is read."""
+
+    def near(self, object_type: str, rows: DataFrame) -> DataFrame:
+        """The records that ``rows (known_id, external_id, natural_key)`` may match."""
+
+    def taken(self, object_type: str, ids: DataFrame) -> DataFrame:
+        """Those of the ids (column ``id``) that exist."""
+
+
+class Records(Protocol):
+    """A record table of which only the rows that some keys name are read."""
+
+    table: DataFrame
+
+    def pick(self, column: str, keys: DataFrame) -> DataFrame:
+        """The rows whose ``column`` is one of ``keys``."""
+
+
+def table_of(source: "DataFrame | Records") -> DataFrame:
+    return source if isinstance(source, DataFrame) else source.table
+
+
+def pick(source: "DataFrame | Records", column: str, keys: DataFrame) -> DataFrame:
+    return relevant(source, column, keys) if isinstance(source, DataFrame) else source.pick(column, keys)
 
 
 def records(source: DataFrame, spec: RecordSpec) -> DataFrame:
@@ -74,9 +100,9 @@ def work_rows(changes: DataFrame, source: DataFrame, spec: RecordSpec) -> DataFr
     are ``record_not_found``.
     """
     mine = changes.where(F.col("entity") == spec.entity)
-    now = records(source, spec)
+    now = records(table_of(source), spec)  # for its columns
     asked = mine.groupBy("record_id").agg(F.min("seq").alias("seq"))
-    current = relevant(now, "record_id", asked.select("record_id")).join(asked, "record_id").withColumn(
+    current = records(pick(source, "record_id", asked.select("record_id")), spec).join(asked, "record_id").withColumn(
         "work_key", F.col("record_id")
     ).withColumn("in_source", F.lit(True))
     # a record with very many changes is split among tasks
@@ -101,7 +127,7 @@ def _pulled(children: list[DataFrame], work: DataFrame, source: DataFrame, spec:
         c.where(F.col("needs_parent")).select(F.col("parent_record").alias("record_id")) for c in children
     ]).distinct()
     extra = needed.join(work.where("in_source").select("record_id"), "record_id", "left_anti")
-    rows = relevant(records(source, spec), "record_id", extra).withColumns({
+    rows = records(pick(source, "record_id", extra), spec).withColumns({
         "seq": F.lit(-1).cast("bigint"), "work_key": F.col("record_id"), "in_source": F.lit(True),
         "skip": F.lit(None).cast("string"),
     })
@@ -114,15 +140,13 @@ def _with_parents(work: DataFrame, parents: DataFrame, spec: RecordSpec) -> Data
     live = F.col("skip").isNull() & F.col("error").isNull()
     link = F.when(live, link_of(work, spec))
     key = F.when(live, F.col(spec.business_key))
-    near = records(parents, parent_spec)
-    asked = work.select(link.alias("k"))
-    by_key = work.select(key.alias("k"))
+    keyed = spec.business_key in table_of(parents).columns and spec.business_key in parent_spec.fields
     # only parents that some child names, by either way, are worth a shuffle
-    candidates = relevant(near, "record_id", asked).unionByName(
-        relevant(near.where(F.col(spec.business_key).isNotNull()), spec.business_key, by_key)
-    ).dropDuplicates(["record_id"]) if spec.business_key in near.columns else relevant(near, "record_id", asked)
-    found = find_parents(work, candidates, link, key if spec.business_key in near.columns else None,
-                         spec.business_key)
+    candidates = records(pick(parents, "record_id", work.select(link.alias("k"))), parent_spec)
+    if keyed:
+        candidates = candidates.unionByName(
+            records(pick(parents, spec.business_key, work.select(key.alias("k"))), parent_spec)).dropDuplicates(["record_id"])
+    found = find_parents(work, candidates, link, key if keyed else None, spec.business_key)
     return found.withColumn(
         "needs_parent", F.col("parent_record").isNotNull() & F.col("parent_known_id").isNull()
     )
@@ -131,12 +155,13 @@ def _with_parents(work: DataFrame, parents: DataFrame, spec: RecordSpec) -> Data
 @dataclass
 class SyncResult:
     #: seq, entity, record_id, status, reason, code, target_id, action, matched_by, parent_id, parent_missing,
-    #: permanent, run_id
+    #: parent_note, permanent, run_id; of events also event_no and attempts, and seq is the event's own id
     outcomes: DataFrame
     written: dict[str, DataFrame]  # per object type: resolved rows that are written
     changes: dict[str, DataFrame]  # per object type: folded properties per target record
     targets: dict[str, DataFrame]  # per object type: the target records looked at
     edges: DataFrame
+    events: DataFrame | None = None  # event_no, seq, entity, record_id, fields, attempts, error, error_code
 
     def merged(self, object_type: str, how: str = "full") -> DataFrame:
         """The target after the sync; ``how="right"`` gives the touched records only. Types of this run only."""
@@ -149,20 +174,20 @@ class SyncResult:
 
 def sync(
     changes: DataFrame,
-    sources: dict[str, DataFrame],
+    sources: "dict[str, DataFrame | Records]",
     targets: dict[str, DataFrame] | Targets,
     batch: str = "0",
     constraints: dict[str, list[tuple[Column, str]]] | None = None,
     keep: Callable[[DataFrame], DataFrame] = pin,
 ) -> SyncResult:
-    """Applies ``changes (seq, entity, record_id, fields)``.
+    """Applies ``changes (seq, entity, record_id, fields)``; ``seq`` is unique, not null and gives their order.
 
     ``sources`` holds the record table of each entity, ``targets`` the snapshot
-    of each object type, or a function that gives the part of it that matters
+    of each object type; either may be an object that gives only the part that matters
     for some rows. ``keep`` is applied to the results that several steps read,
     so that no step is planned, or run, more than once.
     """
-    target_of = targets if callable(targets) else lambda object_type, rows: targets[object_type]
+    partial = not isinstance(targets, dict)
     changes = keep(changes)
     active = _active(changes)
     work = {e: work_rows(changes, sources[e], SPECS[e]) for e in active}
@@ -182,6 +207,7 @@ def sync(
     changed: dict[str, DataFrame] = {}
     seen: dict[str, DataFrame] = {}
     ids: dict[str, DataFrame] = {}
+    failed: dict[str, DataFrame] = {}
     outcomes, edges = [], []
     for entity in active:
         spec, object_type = SPECS[entity], C.OBJECT_TYPE_OF[entity]
@@ -191,8 +217,18 @@ def sync(
             rows = lookup(rows, ids[spec.parent], need, "record_id", {"_new_parent": "target_id"},
                           ["work_key"], (rows, need))
             rows = rows.withColumn("parent_id", F.coalesce("parent_known_id", "_new_parent")).drop("_new_parent")
+            lost = F.when(F.col("parent_id").isNull(), F.col("parent_record"))
+            rows = lookup(rows, failed[spec.parent], lost, "record_id", {"_parent_reason": "reason"}, ["work_key"],
+                          (rows, need))
+            no_parent = message(C.NO_PARENT, F.col(spec.business_key), table=C.TABLE_OF[spec.parent],
+                                links=", ".join(spec.links), key=spec.business_key)
+            before, after = C.PARENT_FAILED.split("{parent}")
+            parent_failed = F.concat(F.lit(before), "parent_record", message(after, F.col("_parent_reason")))
+            rows = rows.withColumn("parent_note", F.when(
+                F.col("skip").isNull() & F.col("error").isNull() & F.col("parent_id").isNull(),
+                F.when(F.col("parent_record").isNull(), no_parent).otherwise(parent_failed))).drop("_parent_reason")
         else:
-            rows = rows.withColumn("parent_id", F.lit(None).cast("string"))
+            rows = rows.withColumns({"parent_id": F.lit(None).cast("string"), "parent_note": F.lit(None).cast("string")})
         live = F.col("skip").isNull() & F.col("error").isNull()
         orphan = live & F.lit(spec.required) & F.col("parent_id").isNull()
         refused = F.when(live & ~orphan, first_broken((constraints or {}).get(object_type, [])))
@@ -200,10 +236,7 @@ def sync(
                                .when(F.col("error").isNotNull(), F.lit(C.VALIDATION_ERROR))
                                .when(orphan, F.lit(C.MISSING_REFERENCE))
                                .when(refused.isNotNull(), F.lit(C.TARGET_REFUSED)))
-        no_parent = C.NO_PARENT.replace("{table}", C.TABLE_OF.get(spec.parent, ""))
-        rows = rows.withColumn("reason", F.coalesce(
-            "skip", "error", F.when(orphan, F.when(F.col("parent_record" if spec.parent else "parent_id").isNull(),
-                                                   F.lit(no_parent)).otherwise(F.lit(C.PARENT_FAILED))), refused))
+        rows = rows.withColumn("reason", F.coalesce("skip", "error", F.when(orphan, F.col("parent_note")), refused))
         rows = keep(rows)
         good = rows.where(F.col("reason").isNull())
         natural = C.NATURAL_KEY[object_type]
@@ -215,10 +248,14 @@ def sync(
             (F.max_by(f"props.{natural}", F.when(F.col(f"props.{natural}").isNotNull(), F.col("seq")))
              if natural else F.lit(None).cast("string")).alias("natural_key"),
         ).withColumn("known_id", F.nullif("known_id", F.lit("")))
-        target = target_of(object_type, identities)
-        if callable(targets):  # a part of a log, which the steps below would each filter again
-            target = keep(target)
-        resolved = keep(resolve(identities, target, natural, batch).select(
+        taken = None
+        if partial:  # a part of a log, which the steps below would each filter again
+            identities = keep(identities)
+            target = keep(targets.near(object_type, identities))
+            taken = partial_taken(targets, object_type)
+        else:
+            target = targets[object_type]
+        resolved = keep(resolve(identities, target, natural, batch, taken).select(
             "record_id", "known_id", "target_id", "action", "matched_by"))
         mine = lookup(good.drop("known_id", "target_id"), resolved.withColumnRenamed("record_id", "_id"), F.col("record_id"),
                       "_id", {c: c for c in ("known_id", "target_id", "action", "matched_by")}, ["work_key"])
@@ -226,6 +263,8 @@ def sync(
         seen[object_type] = target
         changed[object_type] = M.fold_changes(mine, object_type)
         ids[entity] = resolved.select("record_id", "target_id")
+        failed[entity] = rows.where(F.col("reason").isNotNull() & F.coalesce("in_source", F.lit(False))).select(
+            "record_id", "reason")
         if spec.parent:
             edges.append(mine.where(F.col("parent_id").isNotNull()).select(*E.edge(
                 object_type, F.col("target_id"), C.OBJECT_TYPE_OF[spec.parent], F.col("parent_id"))))
@@ -238,6 +277,10 @@ def sync(
     )
 
 
+def partial_taken(targets: Targets, object_type: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda ids: targets.taken(object_type, ids)
+
+
 def _permanent(code: Column) -> Column:
     return F.coalesce(code.isin(*PERMANENT_CODES), F.lit(False))
 
@@ -246,10 +289,15 @@ def _unknown(changes: DataFrame) -> DataFrame:
     """Failed outcomes of the changes that name none of the four tables."""
     text = lambda: F.lit(None).cast("string")
     return changes.where(~F.coalesce(F.col("entity").isin(*C.ENTITIES), F.lit(False))).select(
-        "seq", "entity", "record_id", F.lit(C.FAILED).alias("status"),
+        *_named(changes), F.lit(C.FAILED).alias("status"),
         message(C.UNKNOWN_TABLE, F.col("entity")).alias("reason"), F.lit(C.VALIDATION_ERROR).alias("code"),
         text().alias("target_id"), text().alias("action"), text().alias("matched_by"), text().alias("parent_id"),
-        F.lit(False).alias("parent_missing"))
+        F.lit(False).alias("parent_missing"), text().alias("parent_note"))
+
+
+def _named(changes: DataFrame) -> list[str]:
+    """What tells a change: number, entity and record, and what its event says of itself."""
+    return [c for c in ("seq", "entity", "record_id", "event_id", "attempts") if c in changes.columns]
 
 
 def _active(changes: DataFrame) -> list[str]:
@@ -274,8 +322,9 @@ def _outcomes(changes: DataFrame, rows: DataFrame, resolved: DataFrame, spec: Re
         "reason", "code",
         *[F.when(F.col("reason").isNull(), F.col(c)).alias(c) for c in ("target_id", "action", "matched_by", "parent_id")],
         (F.col("reason").isNull() & F.lit(spec.parent is not None) & F.col("parent_id").isNull()).alias("parent_missing"),
+        "parent_note",
     )
-    mine = changes.where(F.col("entity") == spec.entity).select("seq", "entity", "record_id")
+    mine = changes.where(F.col("entity") == spec.entity).select(*_named(changes))
     shared = lookup(mine, spread.where(F.col("_own").isNull()).withColumnRenamed("record_id", "_rid"),
                     F.col("record_id"), "_rid",
                     {c: c for c in spread.columns if c not in ("record_id", "_own")}, ["seq"])
@@ -283,29 +332,47 @@ def _outcomes(changes: DataFrame, rows: DataFrame, resolved: DataFrame, spec: Re
     return shared.where(F.col("status").isNotNull()).unionByName(own)
 
 
-def sync_events(events: DataFrame, sources: dict[str, DataFrame], targets, seq: str = "seq", **options) -> SyncResult:
-    """Sync of normalised events; unreadable ones become failed outcomes without an entity.
+def numbered_events(events: DataFrame, seq: str = "seq") -> DataFrame:
+    """Events, one for each id, with ``event_no`` from 1: in the order of their ids, those without an id first.
 
-    Events are delivered at least once: those that share ``seq``, the event's id, are one event
-    with one outcome. Should their contents differ, the smallest counts. Events without an id stay apart.
+    Ids are of any type and may be missing. Events are delivered at least once: those that share an id are one event, and
+    should their contents differ, the smallest counts. Events without an id stay apart. ``attempts``, where
+    given, says how often an event was tried before.
     """
     columns = ["entity", "record_id", "fields", "error", "error_code"]
-    events = events.select(F.col(seq).cast("bigint").alias("seq"), *columns)
-    once = events.where(F.col("seq").isNotNull()).groupBy("seq").agg(F.min(F.struct(*columns)).alias("_event")).select(
-        "seq", "_event.*")
+    tried = F.coalesce("attempts", F.lit(0)) if "attempts" in events.columns else F.lit(0)
+    events = events.select(F.col(seq).alias("event_id"), *columns, tried.cast("int").alias("attempts"))
+    once = events.where(F.col("event_id").isNotNull()).groupBy("event_id").agg(
+        F.min(F.struct(*columns)).alias("_event"), F.max("attempts").alias("attempts")
+    ).select("event_id", "_event.*", "attempts")
+    every = once.unionByName(events.where(F.col("event_id").isNull()))
+    order = F.struct("event_id", *columns, F.monotonically_increasing_id().alias("row"))
+    return numbered_batches(every.withColumn("_order", order), "_order").withColumnRenamed("ordinal", "event_no").drop(
+        "_order", "batch_no")
+
+
+def sync_events(events: DataFrame, sources: dict, targets, seq: str = "seq", **options) -> SyncResult:
+    """Sync of normalised events (see ``numbered_events``); unreadable ones become failed outcomes without an entity.
+
+    Each event has one outcome: ``seq`` is its id as given (null where it has none), ``event_no`` its number here.
+    """
     # parsed once: a filter on the parse error must not parse a second time
-    events = options.get("keep", pin)(once.unionByName(events.where(F.col("seq").isNull())))
-    good = events.where(F.col("error").isNull()).select("seq", "entity", "record_id", "fields")
+    events = options.get("keep", pin)(numbered_events(events, seq))
+    good = events.where(F.col("error").isNull()).select(
+        F.col("event_no").cast("bigint").alias("seq"), "event_id", "entity", "record_id", "fields", "attempts")
     result = sync(good, sources, targets, **options)
     text = lambda: F.lit(None).cast("string")
     bad = events.where(F.col("error").isNotNull()).select(
-        "seq", "entity", "record_id", F.lit(C.FAILED).alias("status"),
+        F.col("event_no").cast("bigint").alias("seq"), "entity", "record_id", "event_id", "attempts",
+        F.lit(C.FAILED).alias("status"),
         F.col("error").alias("reason"), F.col("error_code").alias("code"), text().alias("target_id"),
         text().alias("action"), text().alias("matched_by"), text().alias("parent_id"),
-        F.lit(False).alias("parent_missing"), _permanent(F.col("error_code")).alias("permanent"),
-        F.lit(options.get("batch", "0")).alias("run_id"),
+        F.lit(False).alias("parent_missing"), text().alias("parent_note"),
+        _permanent(F.col("error_code")).alias("permanent"), F.lit(options.get("batch", "0")).alias("run_id"),
     )
-    result.outcomes = result.outcomes.unionByName(bad)
+    result.outcomes = result.outcomes.unionByName(bad).withColumnsRenamed({"seq": "event_no", "event_id": "seq"}).withColumn(
+        "attempts", F.col("attempts") + 1)
+    result.events = events.withColumnRenamed("event_id", "seq")
     return result
 
 
@@ -313,7 +380,7 @@ def rescan_changes(sources: dict[str, DataFrame], since: str, limit: int | None
     """Changes found by looking back: per table, parents first, every record modified after ``since``."""
     parts = []
     for order, entity in enumerate(C.ENTITIES):
-        found = modified_since(sources[entity], since, limit)
+        found = modified_since(table_of(sources[entity]), since, limit)
         parts.append(found.select(
             # parents first, then by time; the record id decides among equals in later folds
             (F.lit(order).cast("bigint") * F.lit(1 << 60) + F.unix_micros(F.col(C.MODIFIED).cast("timestamp"))).alias("seq"),
