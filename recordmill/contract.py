@@ -105,6 +105,7 @@ EDGE_LABELS = {
 
 BATCH_SIZE = 100
 LOOKBACK_MINUTES = 10
+MOST_ATTEMPTS = 5
 UNKNOWN_TABLE = 'Unknown or missing table name "{value}". Expected one of: Companies, Contacts, Deals, Line Items.'
 
 # --- fixed values: accepted industries -------------------------------------------

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from recordmill import contract as C
@@ -106,6 +106,14 @@ def rescan_tally(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def observed_tally(outcomes: DataFrame) -> tuple[DataFrame, Observation]:
+    """The outcomes, and the figures of ``rescan_tally`` as an observation that the next write of them fills."""
+    observation = Observation()
+    return outcomes.observe(
+        observation, F.count(F.lit(1)).alias("scanned"),
+        *[F.count_if(F.col("status") == s).alias(s) for s in (C.SYNCED, C.SKIPPED, C.FAILED)]), observation
+
+
 def permanent_failures(outcomes: DataFrame) -> DataFrame:
     """Failed outcomes that no retry changes, by code; the others will be tried again by the next scan."""
     return outcomes.where((F.col("status") == C.FAILED) & F.col("permanent")).groupBy("entity", "code").agg(

@@ -2,41 +2,49 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from recordmill import contract as C
 from recordmill.functions import event_fields, is_authentic
-from recordmill.plans.pins import passing_pins
+from recordmill.plans.pins import passing_pins, pin
 from recordmill.plans.sync import rescan, sync_events
 from recordmill.streaming.log import SyncLog
 
 Tables = Callable[[], dict[str, DataFrame]]
+Constraints = dict[str, list[tuple[Column, str]]] | None
 
 
-def _state(log: SyncLog, tables: Tables, batch: int) -> tuple[dict[str, DataFrame], Callable]:
-    sources = {e: log.source(e, t, batch) for e, t in tables().items()}
-    return sources, lambda object_type, rows: log.near(object_type, rows, batch)
-
-
-def event_stream(bodies: DataFrame, tables: Tables, log: SyncLog, checkpoint: str, seq: str = "event_id") -> DataStreamWriter:
+def event_stream(bodies: DataFrame, tables: Tables, log: SyncLog, checkpoint: str, seq: str = "event_id",
+                 compact_every: int = 50, most_attempts: int | None = C.MOST_ATTEMPTS,
+                 constraints: Constraints = None) -> DataStreamWriter:
     """Sync of a stream of JSON ``body`` rows; ``tables`` gives the record tables as they are now.
 
     The record is always read again, so late, repeated and reordered events end
-    in its current state; no watermark is needed.
+    in its current state; no watermark is needed. An event that an earlier batch brought to an end is left out when it
+    comes again. Failures that a retry may mend are tried again with each batch, up to ``most_attempts`` times.
     """
     def apply(events: DataFrame, batch: int) -> None:
         with passing_pins(log.spark):
-            sources, targets = _state(log, tables, batch)
-            log.append(batch, sync_events(event_fields(events), sources, targets, seq=seq, batch=str(batch)))
+            if batch and batch % compact_every == 0:
+                log.compact(batch)
+            sources, target = log.state(tables(), batch)
+            kind = dict(events.dtypes)[seq]
+            fresh = log.unseen(pin(event_fields(events)), seq, batch).select(
+                F.col(seq).alias("seq"), "entity", "record_id", "fields", "error", "error_code", F.lit(0).alias("attempts"))
+            waiting = log.backlog(batch).select(
+                F.col("seq").cast(kind).alias("seq"), "entity", "record_id", "fields",
+                F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("error_code"), "attempts")
+            result = sync_events(fresh.unionByName(waiting), sources, target, batch=str(batch), constraints=constraints)
+            log.append(batch, result, most_attempts)
 
     return bodies.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
 
 def doorbell_stream(
     messages: DataFrame, secret_base64: str, tables: Tables, log: SyncLog, checkpoint: str,
-    lookback_minutes: int = C.LOOKBACK_MINUTES, limit: int | None = None,
+    lookback_minutes: int = C.LOOKBACK_MINUTES, limit: int | None = None, compact_every: int = 50,
 ) -> DataStreamWriter:
     """Rescans when an authentic message arrives: ``(body, header, received)``.
 
@@ -53,7 +61,9 @@ def doorbell_stream(
         if since is None:
             return
         with passing_pins(log.spark):
-            sources, targets = _state(log, tables, batch)
-            log.append(batch, rescan(sources, targets, since, limit, batch=str(batch)))
+            if batch and batch % compact_every == 0:
+                log.compact(batch)
+            sources, target = log.state(tables(), batch)
+            log.append(batch, rescan(sources, target, since, limit, batch=str(batch)))
 
     return messages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
