@@ -388,7 +388,13 @@ def rescan_changes(sources: dict[str, DataFrame], since: str, limit: int | None
     return reduce(DataFrame.unionByName, parts)
 
 
-def rescan(sources: dict[str, DataFrame], targets, since: str, limit: int | None = None,
+def rescan(sources: dict, targets, since: str, limit: int | None = None, waiting: DataFrame | None = None,
            **options) -> SyncResult:
-    return sync(rescan_changes(sources, since, limit), sources, targets, **options)
-
+    """Sync of what was modified after ``since``, and of the records that ``waiting (entity, record_id, fields)`` names."""
+    changes = rescan_changes(sources, since, limit)
+    if waiting is not None:
+        changes = options.get("keep", pin)(changes)
+        rest = waiting.select("entity", "record_id", "fields").dropDuplicates(["entity", "record_id"]).join(
+            changes.select("entity", "record_id"), ["entity", "record_id"], "left_anti")
+        changes = changes.unionByName(rest.withColumn("seq", -2 - F.monotonically_increasing_id()))
+    return sync(changes, sources, targets, **options)

@@ -45,12 +45,13 @@ def event_stream(bodies: DataFrame, tables: Tables, log: SyncLog, checkpoint: st
 def doorbell_stream(
     messages: DataFrame, secret_base64: str, tables: Tables, log: SyncLog, checkpoint: str,
     lookback_minutes: int = C.LOOKBACK_MINUTES, limit: int | None = None, compact_every: int = 50,
+    most_attempts: int | None = C.MOST_ATTEMPTS, constraints: Constraints = None,
 ) -> DataStreamWriter:
     """Rescans when an authentic message arrives: ``(body, header, received)``.
 
     A message names no records. Everything modified within the lookback before
     the last message of the micro-batch is synced; a window longer than the
-    trigger interval covers a missed message.
+    trigger interval covers a missed message. Failed records that a retry may mend are tried again, in the window or not.
     """
     def apply(batch_messages: DataFrame, batch: int) -> None:
         genuine = batch_messages.where(is_authentic(F.col("body"), F.col("header"), secret_base64))
@@ -64,6 +65,7 @@ def doorbell_stream(
             if batch and batch % compact_every == 0:
                 log.compact(batch)
             sources, target = log.state(tables(), batch)
-            log.append(batch, rescan(sources, target, since, limit, batch=str(batch)))
+            result = rescan(sources, target, since, limit, log.backlog(batch), batch=str(batch), constraints=constraints)
+            log.append(batch, result, most_attempts)
 
     return messages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

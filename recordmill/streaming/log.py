@@ -207,11 +207,8 @@ class SyncLog:
 
     # --- writing ---------------------------------------------------------------------------
 
-    def append(self, batch: int, result: SyncResult, most_attempts: int | None = None, carried: DataFrame | None = None) -> None:
-        """Adds what a batch did. Failures that a retry may mend go to the backlog until ``most_attempts``.
-
-        ``carried`` holds open failures that the batch did not try.
-        """
+    def append(self, batch: int, result: SyncResult, most_attempts: int | None = None) -> None:
+        """Adds what a batch did. Failures that a retry may mend go to the backlog until ``most_attempts``."""
         for entity, object_type in C.OBJECT_TYPE_OF.items():
             if object_type not in result.changes:
                 continue
@@ -220,23 +217,30 @@ class SyncLog:
             self._append(f"write_backs/{entity}", batch, result.write_backs(object_type))
         self._append("edges", batch, result.edges)
         outcomes = pin(result.outcomes)
-        kept, observation = observed_tally(outcomes.withColumn("bucket", bucket_of(F.col("record_id"), OUTCOME_BUCKETS)))
+        shown = outcomes.withColumn("seq", F.col("seq").cast("string"))  # ids of events are of any type
+        if result.events is None:
+            shown = shown.withColumns({"event_no": F.lit(None).cast("bigint"), "attempts": F.lit(None).cast("int")})
+        kept, observation = observed_tally(shown.withColumn("bucket", bucket_of(F.col("record_id"), OUTCOME_BUCKETS)))
         kept.hint("rebalance", F.col("entity"), F.col("bucket")).write.mode("overwrite").partitionBy("entity", "bucket").parquet(
             f"{self.folder}/outcomes/batch_id={batch}")
         self.spark.createDataFrame([tuple(observation.get.values())], ", ".join(f"{k} bigint" for k in observation.get)).coalesce(
             1).write.mode("overwrite").parquet(f"{self.folder}/summaries/batch_id={batch}")
-        if result.events is None:
-            return
         again = (F.col("status") == C.FAILED) & ~F.col("permanent")
+        if result.events is None:  # a rescan: its records are read again, whatever it was that failed
+            before = self.backlog(batch).groupBy("entity", "record_id").agg(F.max("attempts").alias("before"))
+            left = outcomes.where(again).select("entity", "record_id").distinct().join(before, ["entity", "record_id"], "left").select(
+                F.lit(None).cast("string").alias("seq"), "entity", "record_id", F.lit(None).cast("string").alias("fields"),
+                (F.coalesce("before", F.lit(0)) + 1).alias("attempts"))
+        else:
+            left = outcomes.where(again).join(result.events.select("event_no", "fields"), "event_no").select(
+                F.col("seq").cast("string").alias("seq"), "entity", "record_id", "fields", F.col("attempts").cast("int").alias("attempts"))
         if most_attempts is not None:
-            again = again & (F.col("attempts") < most_attempts)
-        self._append("seen", batch, outcomes.where(F.col("seq").isNotNull() & ~again).select(F.col("seq").alias("event_id")))
-        bodies = result.events.select("event_no", "fields")
-        left = outcomes.where(again).join(bodies, "event_no").select(
-            F.col("seq").cast("string").alias("seq"), "entity", "record_id", "fields", F.col("attempts").cast("int").alias("attempts"))
-        if carried is not None:
-            left = left.unionByName(carried)
+            left = left.where(F.col("attempts") < most_attempts)
+        left = pin(left)
         left.write.mode("overwrite").parquet(f"{self.folder}/backlog/batch_id={batch}")
+        if result.events is not None:  # what is to be tried again is not done with
+            ended = outcomes.where(F.col("seq").isNotNull()).select(F.col("seq").cast("string").alias("event_id"))
+            self._append("seen", batch, ended.join(left.select(F.col("seq").alias("event_id")), "event_id", "left_anti"))
 
     def compact(self, before: int) -> None:
         """One segment for all batches under ``before``, which must be finished for good; a new batch may start after it.
