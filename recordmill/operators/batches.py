@@ -8,18 +8,36 @@ from recordmill import contract as C
 from recordmill.plans.pins import pin
 
 
-def numbered_batches(df: DataFrame, order: str, size: int = C.BATCH_SIZE, slices: int | None = None) -> DataFrame:
+ROWS_PER_SLICE = 1_000_000
+
+
+def slices_for(rows: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> int:
+    """How many range slices keep each at about ``rows_per_slice``; all cores at least. Counts the rows."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // rows_per_slice))
+
+
+def range_sliced(df: DataFrame, order: list[str], rows_per_slice: int = ROWS_PER_SLICE, slices: int | None = None) -> DataFrame:
+    """``df``, written in ranges of ``order`` of about ``rows_per_slice`` rows, with the range as ``_slice``.
+
+    Spark samples the bounds of the ranges; what is counted and sampled is written first, not computed each time.
+    """
+    if slices is None:
+        df = pin(df)
+        slices = slices_for(df, rows_per_slice)
+    return pin(df.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()))
+
+
+def numbered_batches(df: DataFrame, order: str, size: int = C.BATCH_SIZE, slices: int | None = None,
+                     rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Adds ``ordinal`` (from 1, in ``order``, which is unique) and ``batch_no`` (from 0).
 
-    Rows are range-partitioned once and written with their slice number, so that
-    every later reading agrees on the slices. Each slice is numbered in itself
+    Rows are written, counted and cut into ranges of about ``rows_per_slice``, whose bounds Spark samples, and
+    written with their slice number, so that every later reading agrees on the slices. Each slice is numbered in itself
     and shifted by the rows of the slices before it: one count per slice.
     """
     if size <= 0:
         raise ValueError("chunk size must be greater than zero")
-    spark = df.sparkSession
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sliced = pin(df.repartitionByRange(n, order).withColumn("_slice", F.spark_partition_id()))
+    sliced = range_sliced(df, [order], rows_per_slice, slices)
     counts = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_rows"))
     # one row per slice, so this window sees at most n rows
     before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)

@@ -2,10 +2,12 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordmill import contract as C
+from recordmill.operators.batches import range_sliced
 from recordmill.plans.migrate import Migration
 
 STATUSES = [C.CREATED, C.UPDATED, C.REJECTED, C.FAILED]
@@ -120,14 +122,49 @@ def permanent_failures(outcomes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
+def percentiles(rows: DataFrame, keys: list[str], value: str, parts: dict[str, float]) -> DataFrame:
+    """``(*keys, *parts)``: exact percentiles of ``value`` per key, linear between neighbours; nulls do not count.
+
+    Rows are first counted per key and value. The distinct values are dealt out in ranges, so that a key with very many
+    of them is many tasks' work, and a value's rank is its count within the range plus those of the
+    ranges before it.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(F.struct(*keys).alias("_key"), F.col(value).alias("_value")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    sliced = range_sliced(counted, ["_key", "_value"])
+    whole = W.partitionBy("_of")
+    before = whole.orderBy("_in").rowsBetween(W.unboundedPreceding, -1)
+    shifts = sliced.groupBy(F.col("_key").alias("_of"), F.col("_slice").alias("_in")).agg(F.sum("_n").alias("_rows")).select(
+        "_of", "_in", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"), F.sum("_rows").over(whole).alias("_total"))
+    within = W.partitionBy("_slice", "_key").orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = sliced.withColumn("_end", F.sum("_n").over(within)).join(
+        shifts, (F.col("_key") == F.col("_of")) & (F.col("_slice") == F.col("_in")))
+    end = F.col("_before") + F.col("_end")
+    start = end - F.col("_n")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((start <= rank) & (rank < end), F.col("_value").cast("double")))
+
+    places = {name: (F.col("_total") - 1) * F.lit(part).cast("double") for name, part in parts.items()}
+    picked = ranked.groupBy("_key").agg(
+        F.max("_total").alias("_total"), *[at(F.floor(p)).alias(f"_low_{name}") for name, p in places.items()],
+        *[at(F.ceil(p)).alias(f"_high_{name}") for name, p in places.items()])
+    return picked.select(*[F.col(f"_key.{k}").alias(k) for k in keys], *[
+        (F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * (p - F.floor(p))).alias(name)
+        for name, p in places.items()])
+
+
 def attempt_signals(attempts: DataFrame, keys: list[str]) -> DataFrame:
-    """Attempts per ``keys`` (such as action and type): how many, retried after 429, and duration percentiles.
+    """Attempts per ``keys`` (such as action and type): how many, retried after 429, and exact duration percentiles.
 
     Expects ``status`` and ``duration`` (any unit).
     """
-    return attempts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("status") == 429).alias("throttled"),
-        *[F.percentile("duration", p / 100).alias(f"p{p}") for p in (50, 95, 99)])
+    counts = attempts.groupBy(F.struct(*keys).alias("_key")).agg(
+        F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("status") == 429).alias("throttled"))
+    found = percentiles(attempts, keys, "duration", {f"p{p}": p / 100 for p in (50, 95, 99)})
+    found = found.select(F.struct(*keys).alias("_of"), "p50", "p95", "p99")
+    return counts.join(found, F.col("_key") == F.col("_of"), "left").select(
+        *[F.col(f"_key.{k}").alias(k) for k in keys], "attempts", "throttled", "p50", "p95", "p99")
 
 
 def signals(outcomes: DataFrame) -> DataFrame:

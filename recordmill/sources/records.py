@@ -1,17 +1,48 @@
 """Record tables: what changed since, oldest first."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from recordmill import contract as C
+from recordmill.plans.pins import pin
 
 
-def modified_since(table: DataFrame, since: str, limit: int | None = None) -> DataFrame:
+def modified_since(table: DataFrame, since: str, limit: int | None = None, after: Row | None = None) -> DataFrame:
     """Records modified strictly after ``since`` (a timestamp text, UTC), oldest first.
 
-    All of them, unless a caller sets a limit; then it must go on from the largest
-    modification time and record id returned. The filter reaches the files.
+    All of them, unless a caller sets a limit. ``after`` goes on behind the record where the last call ended:
+    its modification time and record id (see ``cursor``). The filter reaches the files.
     """
     kind = dict(table.dtypes)[C.MODIFIED]
-    found = table.where(F.col(C.MODIFIED) > F.lit(since).cast(kind)).orderBy(C.MODIFIED, "record_id")
+    changed = F.col(C.MODIFIED)
+    found = table.where(changed > F.lit(since).cast(kind))
+    if after is not None:
+        last = F.lit(after[C.MODIFIED]).cast(kind)
+        found = found.where((changed >= last) & ((changed > last) | (F.col("record_id") > after["record_id"])))
+    found = found.orderBy(C.MODIFIED, "record_id")
     return found if limit is None else found.limit(limit)
+
+
+def cursor(page: DataFrame) -> Row | None:
+    """Where a page ends: the largest modification time and, of equal ones, record id. None if it has no row."""
+    last = page.agg(F.max(F.struct(C.MODIFIED, "record_id")).alias("last")).first()
+    return last["last"]
+
+
+def scan_pages(table: DataFrame, since: str, size: int, after: Row | None = None) -> Iterator[DataFrame]:
+    """The records after ``since`` in pages of ``size``, each written once; records of one time may lie on two pages.
+
+    A scan that broke off goes on with ``after`` from its last page's ``cursor``.
+    """
+    if size <= 0:
+        raise ValueError("a page holds at least one record")
+    while True:
+        page = pin(modified_since(table, since, size, after))
+        rows = page.count()
+        if rows:
+            yield page
+        if rows < size:
+            return
+        after = cursor(page)
