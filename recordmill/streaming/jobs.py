@@ -16,6 +16,20 @@ Tables = Callable[[], dict[str, DataFrame]]
 Constraints = dict[str, list[tuple[Column, str]]] | None
 
 
+def sync_batch(events: DataFrame, tables: dict[str, DataFrame], log: SyncLog, batch: int, seq: str = "event_id",
+               most_attempts: int | None = C.MOST_ATTEMPTS, constraints: Constraints = None) -> None:
+    """One micro-batch of JSON ``body`` rows: events not seen yet, and the failures that earlier ones left open."""
+    sources, target = log.state(tables, batch)
+    kind = dict(events.dtypes)[seq]
+    fresh = log.unseen(pin(event_fields(events)), seq, batch).select(
+        F.col(seq).alias("seq"), "entity", "record_id", "fields", "error", "error_code", F.lit(0).alias("attempts"))
+    waiting = log.backlog(batch).select(
+        F.col("seq").cast(kind).alias("seq"), "entity", "record_id", "fields",
+        F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("error_code"), "attempts")
+    result = sync_events(fresh.unionByName(waiting), sources, target, batch=str(batch), constraints=constraints)
+    log.append(batch, result, most_attempts)
+
+
 def event_stream(bodies: DataFrame, tables: Tables, log: SyncLog, checkpoint: str, seq: str = "event_id",
                  compact_every: int = 50, most_attempts: int | None = C.MOST_ATTEMPTS,
                  constraints: Constraints = None) -> DataStreamWriter:
@@ -29,15 +43,7 @@ def event_stream(bodies: DataFrame, tables: Tables, log: SyncLog, checkpoint: st
         with passing_pins(log.spark):
             if batch and batch % compact_every == 0:
                 log.compact(batch)
-            sources, target = log.state(tables(), batch)
-            kind = dict(events.dtypes)[seq]
-            fresh = log.unseen(pin(event_fields(events)), seq, batch).select(
-                F.col(seq).alias("seq"), "entity", "record_id", "fields", "error", "error_code", F.lit(0).alias("attempts"))
-            waiting = log.backlog(batch).select(
-                F.col("seq").cast(kind).alias("seq"), "entity", "record_id", "fields",
-                F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("error_code"), "attempts")
-            result = sync_events(fresh.unionByName(waiting), sources, target, batch=str(batch), constraints=constraints)
-            log.append(batch, result, most_attempts)
+            sync_batch(events, tables(), log, batch, seq, most_attempts, constraints)
 
     return bodies.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 

@@ -501,3 +501,58 @@ where coalesce(parent_known_id, i.target_id) is not null
 union select 'line_items', r.target_id, 'deals', coalesce(parent_known_id, d.target_id)
 from par_x x join res_lines r using (record_id) left join res_deals d on d.record_id = x.parent_record
 where coalesce(parent_known_id, d.target_id) is not null"""
+
+
+# --- merges of the other types, ids until one is free ------------------------------------------------
+def merge_sql(t, table, natural):
+    key = f"p_{natural}" if natural else "cast(null as varchar)"
+    by_natural = (f", byn as (select {natural} as k, min(id) as id from target_{t} where {natural} is not null group by 1)"
+                  if natural else ", byn as (select cast(null as varchar) as k, cast(null as varchar) as id)")
+    names = [*C.PROPERTIES[C.OBJECT_TYPES[["companies", "contacts", "deals", "lines"].index(t)]], *C.STAMPS]
+    return f"""with {cte(table)}, {cte('target_' + t, RECORD_IDS)}, {M[table]},
+byx as (select external_source_id as k, min(id) as id from target_{t} where external_source_id is not null group by 1){by_natural},
+found as (select m.*, {key} as nk, coalesce(a.id, b.id, c.id) as existing_id from m_{table} m
+  left join target_{t} a on a.id = nullif(m.hubspot_record_id, '') left join byx b on b.k = m.p_external_source_id
+  left join byn c on c.k = {key} where m.error is null),
+led as (select *, first_value(p_external_source_id) over (partition by existing_id is null, nk order by last_modified, record_id) as lead from found),
+named as (select *, coalesce(existing_id, substr(sha256(case when nk is null then p_external_source_id else lead end), 1, 32)) as target_id from led),
+folded as (select target_id as id, {", ".join(f"arg_max(p_{p}, (last_modified, record_id)) filter (p_{p} is not null) as {p}" for p in names)}
+  from named group by 1)
+select coalesce(n.id, o.id) as id, {", ".join(f"coalesce(n.{p}, o.{p}) as {p}" for p in names)},
+  case when n.id is null then null when o.id is null then 'created' else 'updated' end as action
+from target_{t} o full join folded n on o.id = n.id"""
+
+
+SQL["m1_merge_contacts"] = merge_sql("contacts", "rec_contacts", "email")
+SQL["m1_merge_deals"] = merge_sql("deals", "rec_deals", None)
+SQL["m1_merge_lines"] = merge_sql("lines", "rec_lines", None)
+SQL["k1_taken_ids"] = """select 'recC' || c_custkey as record_id, substr(sha256('airtable:companies:recC' || c_custkey ||
+  case when c_custkey % 16 = 0 then '@b#3' when c_custkey % 8 = 0 then '@b#2' when c_custkey % 4 = 0 then '@b' else '' end), 1, 32) as target_id,
+  'created' as action from customer"""
+SQL["s1_csv_split"] = SQL["s1_csv_round_trip"]
+SQL["l1_pages"] = f"""with {cte('rec_deals')} select cast(floor((row_number() over (order by last_modified, record_id) - 1) / 4000) as int) as page,
+record_id from rec_deals where last_modified > timestamp '1999-06-01'"""
+SQL["a9_percentiles"] = "select case when event_id % 3 = 0 then 'hot' else event_type end as event_type, count(*) as attempts, " \
+    "count(*) filter (event_id % 7 = 0) as throttled, " + ", ".join(
+        f"round(quantile_cont(value * 100, {p / 100}), 6) as p{p}" for p in (50, 95, 99)) + " from events group by 1"
+
+# --- two deliveries: what each micro-batch has to do --------------------------------------------------
+DELIVERED = OUTCOMES + """, keyed as (select *, case when event_id % 10 = 0 then null when event_id % 10 < 3 then 'ev-' || event_id
+  else cast(event_id as varchar) end as event_key from outc),
+came as (select 0 as batch_id, * from keyed where event_id % 4 < 3 union all select 1, * from keyed where event_id % 4 > 1),
+copies as (select * from came union all select * from came where event_id % 8 = 1),
+done as (select * from copies where event_key is null
+  union all select distinct * from copies where event_key is not null and (batch_id = 0 or event_id % 4 = 3))"""
+SQL["e4_replay"] = DELIVERED + """ select coalesce(event_key, '') as event_key, entity, record_id, status, code, count(*) as n
+from done group by 1, 2, 3, 4, 5"""
+SQL["a4_observed"] = DELIVERED + """ select batch_id, count(*) as scanned, count(*) filter (status = 'synced') as synced,
+count(*) filter (status = 'skipped') as skipped, count(*) filter (status = 'failed') as failed from done group by 1"""
+SQL["a9_trace"] = DELIVERED + """ select 'run 1' as scope, record_id, status, count(*) as n from done where batch_id = 1 group by 2, 3
+union all select 'deals', record_id, status, count(*) from done where entity = 'deal' group by 2, 3
+union all select 'run 0, contacts', record_id, status, count(*) from done where entity = 'contact' and batch_id = 0 group by 2, 3"""
+SQL["e6_backlog"] = f"""with {cte('rec_companies')}, {M['rec_companies']},
+s as (select record_id, concat(company_id, company_name, domain, industry, number_of_employees) = '' as blank, error is not null as bad,
+  coalesce(length(p_name) > 20, false) or coalesce(p_industry = 'FURNITURE', false) as refused from m_rec_companies)
+select record_id, 0 as batch_id, case when blank then 'skipped' when bad or refused then 'failed' else 'synced' end as status,
+  case when blank then null when bad then 'VALIDATION_ERROR' when refused then 'TARGET_REFUSED' end as code, 1 as attempts from s
+union all select record_id, 1, 'synced', null, 2 from s where not blank and not bad and refused"""

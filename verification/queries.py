@@ -12,13 +12,14 @@ from recordmill.operators import mapping as Map
 from recordmill.operators import merge as M
 from recordmill.operators import report as P
 from recordmill.operators.batches import numbered_batches
-from recordmill.operators.identity import find_parents, match_external, resolve, three_tiers
+from recordmill.operators.identity import find_parents, match_external, new_id, resolve, three_tiers
 from recordmill.operators.validate import duplicates, is_blank
 from recordmill.plans import sync as S
 from recordmill.plans.migrate import migrate
 from recordmill.plans.pins import fresh_path
 from recordmill.session import tune
-from recordmill.sources import modified_since, read_csv
+from recordmill.sources import modified_since, read_csv, read_csv_by_records, scan_pages
+from recordmill.streaming import SyncLog, event_stream, sync_batch
 from verification.inputs import RECORD_IDS, derived
 
 SECRET = "YS10ZXN0LW1hYy1zZWNyZXQtdmFsdWU="  # base64 of a-test-mac-secret-value
@@ -305,14 +306,15 @@ def j8_parent(spark, sf):
 
 @query
 def j9_reread(spark, sf):
+    """What each company event stands for, by the sync's own re-read."""
     events = normalised_events(spark, sf).where(col("error").isNull() & (col("entity") == C.COMPANY))
-    now = derived(spark, sf, "rec_companies").select("record_id", col("company_name").alias("now_name"), F.lit(True).alias("found"))
-    joined = events.join(now, "record_id", "left")
-    return joined.select(
-        "event_id", "record_id",
-        F.when(col("found"), F.lit("current")).when(col("fields").isNotNull(), F.lit("payload"))
-        .otherwise(F.lit("record_not_found")).alias("origin"),
-        F.when(col("found"), col("now_name")).otherwise(F.get_json_object("fields", "$.company_name")).alias("company_name"))
+    changes = S.pin(events.select(col("event_id").alias("seq"), "entity", "record_id", "fields"))
+    rows = S.pin(S.work_rows(changes, derived(spark, sf, "rec_companies"), S.SPECS[C.COMPANY]))
+    now = rows.where("in_source").select("record_id", F.lit("current").alias("origin"), "company_name")
+    own = rows.where(~F.coalesce(col("in_source"), F.lit(False))).select("seq", "record_id", F.when(
+        col("in_source").isNull(), F.lit("record_not_found")).otherwise(F.lit("payload")).alias("origin"), "company_name")
+    shown = [col("seq").alias("event_id"), "record_id", "origin", "company_name"]
+    return changes.select("seq", "record_id").join(now, "record_id").select(*shown).unionByName(own.select(*shown))
 
 
 @splitting
@@ -324,10 +326,15 @@ def j10_required_parent(spark, sf):
 
 @query
 def j12_closure(spark, sf):
-    """Companies that changed deals pull in: unsynced and named by a live deal."""
-    deals = with_parent(spark, sf, "rec_deals", "rec_companies", C.DEAL).where(col("deal_name") != "")
-    return deals.where(col("parent_record").isNotNull() & col("parent_known_id").isNull()).groupBy("parent_record").agg(
-        F.count(F.lit(1)).alias("children"))
+    """Companies that changed deals pull in, by the sync's own closure, and how many deals need each."""
+    deals, companies = derived(spark, sf, "rec_deals"), derived(spark, sf, "rec_companies")
+    changes = S.pin(numbered_batches(deals.select("record_id"), "record_id").select(
+        col("ordinal").cast("bigint").alias("seq"), F.lit(C.DEAL).alias("entity"), "record_id", F.lit(None).cast("string").alias("fields")))
+    work = S.pin(S._with_parents(S.pin(S.work_rows(changes, deals, S.SPECS[C.DEAL])), companies, S.SPECS[C.DEAL]))
+    none = S.work_rows(changes.where(col("entity") == C.COMPANY), companies, S.SPECS[C.COMPANY])
+    pulled = S._pulled([work], S.pin(none), companies, S.SPECS[C.COMPANY]).where("not asked").select("record_id")
+    needed = work.where("needs_parent").groupBy("parent_record").agg(F.count(F.lit(1)).alias("children"))
+    return needed.join(pulled, needed["parent_record"] == pulled["record_id"]).drop("record_id")
 
 
 def company_changes(spark, sf):
@@ -344,6 +351,36 @@ def m1_merge(spark, sf):
     return M.merge(target, M.fold_changes(rows, C.COMPANIES), C.COMPANIES)
 
 
+def merged_as(name: str, table: str, mapper, natural: str | None, object_type: str, target_name: str):
+    def run(spark, sf):
+        rows = S.pin(identities(spark, sf, table, mapper, natural, object_type))
+        target = S.pin(derived(spark, sf, target_name, RECORD_IDS))
+        resolved = resolve(rows, target, natural, "0")
+        return M.merge(target, M.fold_changes(resolved, object_type), object_type)
+    QUERIES[name] = lambda spark, sf: run(tune(spark), sf)
+
+
+merged_as("m1_merge_contacts", "rec_contacts", Map.map_contact_record, "email", C.CONTACTS, "target_contacts")
+merged_as("m1_merge_deals", "rec_deals", Map.map_deal_record, None, C.DEALS, "target_deals")
+merged_as("m1_merge_lines", "rec_lines", Map.map_line_item_record, None, C.LINE_ITEMS, "target_lines")
+
+
+@query
+def k1_taken_ids(spark, sf):
+    """Ids of new companies where other records hold the first, the first two, or the first three candidates."""
+    rows = derived(spark, sf, "rec_companies").select(
+        "record_id", F.lit(0).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("known_id"),
+        R.external_id("airtable", C.COMPANIES, col("record_id")).alias("external_id"),
+        F.lit(None).cast("string").alias("natural_key"))
+    held = raw(spark, sf, "customer").select("c_custkey", R.external_id(
+        "airtable", C.COMPANIES, F.concat(F.lit("recC"), col("c_custkey").cast("string"))).alias("external_id"))
+    taken = reduce(DataFrame.unionByName, [
+        held.where(col("c_custkey") % every == 0).select(new_id(col("external_id"), extra).alias("id"))
+        for every, extra in ((4, ""), (8, "@b"), (16, "@b#2"))])
+    target = S.pin(taken.select("id", F.concat(F.lit("manual:"), "id").alias(C.EXTERNAL_ID)))
+    return resolve(S.pin(rows), target, None, "b").select("record_id", "target_id", "action")
+
+
 @query
 def m1_replay(spark, sf):
     """Merging the same changes into the merged target again: what differs (nothing) and how much there is."""
@@ -411,6 +448,30 @@ def s1_csv_round_trip(spark, sf):
     return read_csv(spark, path)
 
 
+@query
+def s1_csv_split(spark, sf):
+    """The same texts as one file, read by a task for each 256 KB of it."""
+    path = fresh_path(spark)
+    raw(spark, sf, "documents").select(col("doc_id").cast("string").alias("doc_id"), "text", "lang").coalesce(1).write.option(
+        "header", True).option("escape", '"').csv(path)
+    sizes = {"spark.sql.files.maxPartitionBytes": "262144", "spark.sql.files.openCostInBytes": "1"}
+    before = {name: spark.conf.get(name) for name in sizes}
+    try:
+        for name, value in sizes.items():
+            spark.conf.set(name, value)
+        return S.pin(read_csv_by_records(spark, path))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+@query
+def l1_pages(spark, sf):
+    """A capped scan, gone on with until its end; very many deals share a modification time."""
+    pages = scan_pages(derived(spark, sf, "rec_deals"), SINCE["deals"], 4000)
+    return reduce(DataFrame.unionByName, [p.select(F.lit(n).alias("page"), "record_id") for n, p in enumerate(pages)])
+
+
 @query
 def w1_batches(spark, sf):
     return numbered_batches(derived(spark, sf, "rec_deals").select("record_id"), "record_id").select(
@@ -489,6 +550,81 @@ def a9_attempts(spark, sf):
     return P.attempt_signals(timed, ["event_type"]).withColumns({p: F.round(p, 4) for p in ("p50", "p95", "p99")})
 
 
+@query
+def a9_percentiles(spark, sf):
+    """Durations as they are, a third of them under one key."""
+    k = col("event_id")
+    timed = attempts(spark, sf).select(F.when(k % 3 == 0, F.lit("hot")).otherwise(col("event_type")).alias("event_type"), "status",
+                                       (col("value") * 100).alias("duration"))
+    return P.attempt_signals(timed, ["event_type"]).withColumns({p: F.round(p, 6) for p in ("p50", "p95", "p99")})
+
+
+# --- the stream's log ------------------------------------------------------------------
+
+
+def delivered(spark, sf) -> list[DataFrame]:
+    """Two deliveries of the events: a quarter comes in both, some twice in one; ids are numbers, texts or missing."""
+    k = col("event_id")
+    rows = derived(spark, sf, "event_bodies").select(
+        F.when(k % 10 == 0, None).when(k % 10 < 3, F.concat(F.lit("ev-"), k.cast("string"))).otherwise(k.cast("string")).alias("key"),
+        "body", k.alias("k"))
+    parts = [rows.where(col("k") % 4 < 3), rows.where(col("k") % 4 > 1)]
+    return [p.unionByName(p.where(col("k") % 8 == 1)).drop("k") for p in parts]
+
+
+def streamed(spark, sf) -> SyncLog:
+    """The deliveries as two micro-batches of a stream over the record tables and targets."""
+    def make():
+        folder = fresh_path(spark)
+        for n, part in enumerate(delivered(spark, sf)):
+            part.coalesce(1).write.json(f"{folder}/in/part={n}")
+        log = SyncLog(spark, f"{folder}/log", buckets=16).start_from(record_targets(spark, sf))
+        bodies = spark.readStream.schema("key string, body string").option("maxFilesPerTrigger", 1).json(f"{folder}/in/part=*")
+        job = event_stream(bodies, lambda: record_tables(spark, sf), log, f"{folder}/checkpoint", seq="key").trigger(
+            availableNow=True).start()
+        job.awaitTermination()
+        if job.exception() is not None:
+            raise job.exception()
+        return log
+    return once(spark, sf, "stream", make)
+
+
+@query
+def e4_replay(spark, sf):
+    """Outcomes of events that come again, within a micro-batch and in a later one."""
+    return streamed(spark, sf).outcomes().groupBy(
+        F.coalesce("seq", F.lit("")).alias("event_key"), "entity", "record_id", "status", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def a4_observed(spark, sf):
+    """Figures per micro-batch, taken while outcomes were written."""
+    return streamed(spark, sf).summaries().select(col("batch_id").cast("int").alias("batch_id"), "scanned", "synced", "skipped", "failed")
+
+
+@query
+def a9_trace(spark, sf):
+    """Outcomes of one run, and of one type and run, from the folders that hold them."""
+    log = streamed(spark, sf)
+    parts = {"run 1": log.trace(run=1), "deals": log.trace(entity=C.DEAL), "run 0, contacts": log.trace(run=0, entity=C.CONTACT)}
+    return reduce(DataFrame.unionByName, [
+        rows.groupBy(F.lit(name).alias("scope"), "record_id", "status").agg(F.count(F.lit(1)).alias("n")) for name, rows in parts.items()])
+
+
+@query
+def e6_backlog(spark, sf):
+    """Companies that the target refuses are tried again with the next batch, which names none of them."""
+    def make():
+        log = SyncLog(spark, f"{fresh_path(spark)}/log", buckets=16).start_from(record_targets(spark, sf))
+        events = derived(spark, sf, "rec_companies").select(
+            col("record_id").alias("key"), F.concat(F.lit('{"table": "companies", "recordId": "'), "record_id", F.lit('"}')).alias("body"))
+        sync_batch(events, record_tables(spark, sf), log, 0, "key", constraints=refused())
+        sync_batch(events.limit(0), record_tables(spark, sf), log, 1, "key")
+        return log
+    return once(spark, sf, "backlog", make).outcomes().select(
+        "record_id", col("batch_id").cast("int").alias("batch_id"), "status", "code", "attempts")
+
+
 @query
 def e6_permanent(spark, sf):
     return P.permanent_failures(event_run(spark, sf).outcomes)
