@@ -33,17 +33,17 @@ def fresh_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/recordmill/{uuid.uuid4().hex}"
 
 
-def pin(df: DataFrame) -> DataFrame:
+def pin(df: DataFrame, reader: SparkSession | None = None) -> DataFrame:
     """The same rows, read back from a table in the shared folder.
 
     A table and not a cached frame: it outlives lost executors, and readers
-    fetch only the columns they use.
+    fetch only the columns they use. ``reader`` is the session that reads it, if not that of ``df``.
     """
     path = fresh_path(df.sparkSession)
     if (made := _scope.get()) is not None:
         made.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (reader or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
 @contextmanager

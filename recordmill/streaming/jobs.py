@@ -21,7 +21,8 @@ def sync_batch(events: DataFrame, tables: dict[str, DataFrame], log: SyncLog, ba
     """One micro-batch of JSON ``body`` rows: events not seen yet, and the failures that earlier ones left open."""
     sources, target = log.state(tables, batch)
     kind = dict(events.dtypes)[seq]
-    fresh = log.unseen(pin(event_fields(events)), seq, batch).select(
+    # a stream's own session plans without what it learns at run time; the log's session does
+    fresh = log.unseen(pin(event_fields(events), log.spark), seq, batch).select(
         F.col(seq).alias("seq"), "entity", "record_id", "fields", "error", "error_code", F.lit(0).alias("attempts"))
     waiting = log.backlog(batch).select(
         F.col("seq").cast(kind).alias("seq"), "entity", "record_id", "fields",

@@ -9,11 +9,13 @@ A micro-batch reads only what earlier batches wrote and overwrites its own segme
 ``foreachBatch`` may, gives the same state. Touched records are appended as they are after the batch.
 """
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from recordmill import contract as C
 from recordmill.operators.edges import EDGE
@@ -49,6 +51,13 @@ def latest_by(name: str, key: str) -> list[str] | None:
     return [key] if name.split("/")[0] in ("targets", "write_backs") else None
 
 
+def together(jobs: list[Callable[[], None]]) -> None:
+    """Runs independent writes side by side: most of them are far too small to fill a cluster."""
+    with ThreadPoolExecutor(8) as pool:
+        for done in [pool.submit(copy_context().run, job) for job in jobs]:
+            done.result()
+
+
 @dataclass
 class SyncLog:
     """``buckets`` is fixed when a log is started."""
@@ -129,19 +138,19 @@ class SyncLog:
         """Writes the initial snapshots; call once for a new folder."""
         path, files = self._file_system()
         files.mkdirs(path(f"{self.folder}/buckets={self.buckets}"))
-        for object_type in C.OBJECT_TYPES:
-            self._put_target(object_type, BASE, targets[object_type])
+        together([job for t in C.OBJECT_TYPES for job in self._target_writes(t, BASE, targets[t])])
         return self
 
     def _check(self) -> None:
         if (made := self._numbers("buckets=*")) != [self.buckets]:
             raise ValueError(f"the log has {made} buckets, not {self.buckets}")
 
-    def _put_target(self, object_type: str, batch: int, rows: DataFrame) -> None:
-        self._append(f"targets/{object_type}", batch, rows)
+    def _target_writes(self, object_type: str, batch: int, rows: DataFrame) -> list[Callable[[], None]]:
+        parts = {f"targets/{object_type}": rows}
         for name, column in (("by_external", C.EXTERNAL_ID), ("by_natural", C.NATURAL_KEY[object_type])):
             if column:
-                self._append(f"{name}/{object_type}", batch, rows.where(F.col(column).isNotNull()))
+                parts[f"{name}/{object_type}"] = rows.where(F.col(column).isNotNull())
+        return [lambda name=name, part=part: self._append(name, batch, part) for name, part in parts.items()]
 
     def target(self, object_type: str, before: int | None = None) -> DataFrame:
         """The target as it stands."""
@@ -209,13 +218,14 @@ class SyncLog:
 
     def append(self, batch: int, result: SyncResult, most_attempts: int | None = None) -> None:
         """Adds what a batch did. Failures that a retry may mend go to the backlog until ``most_attempts``."""
+        jobs: list[Callable[[], None]] = [lambda: self._append("edges", batch, result.edges)]
+        touched = {t: result.merged(t, how="right").drop("action") for t in result.changes}
+        together([lambda t=t: touched.update({t: pin(touched[t])}) for t in touched])
         for entity, object_type in C.OBJECT_TYPE_OF.items():
-            if object_type not in result.changes:
-                continue
-            touched = result.merged(object_type, how="right").drop("action")
-            self._put_target(object_type, batch, pin(touched))
-            self._append(f"write_backs/{entity}", batch, result.write_backs(object_type))
-        self._append("edges", batch, result.edges)
+            if object_type in touched:
+                jobs += self._target_writes(object_type, batch, touched[object_type])
+                jobs.append(lambda e=entity, t=object_type: self._append(f"write_backs/{e}", batch, result.write_backs(t)))
+        together(jobs)
         outcomes = pin(result.outcomes)
         shown = outcomes.withColumn("seq", F.col("seq").cast("string"))  # ids of events are of any type
         if result.events is None:
@@ -250,8 +260,8 @@ class SyncLog:
         upto, last = before - 1, self.compacted()
         if last is not None and last >= upto:
             return
-        for name in key_columns():
-            self._write(name, f"base={upto}", self.latest(name, self.read(name, before)))
+        together([lambda name=name: self._write(name, f"base={upto}", self.latest(name, self.read(name, before)))
+                  for name in key_columns()])
         path, files = self._file_system()
         files.mkdirs(path(f"{self.folder}/compacted/upto={upto}"))
         if last is None:
@@ -294,7 +304,12 @@ class StoredRecords:
     before: int
 
     def pick(self, column: str, keys: DataFrame) -> DataFrame:
-        kind = T.StringType().simpleString()
-        rows = pin(relevant(self.table.where(F.col(column).isNotNull()), column, keys.select(F.col(keys.columns[0]).cast(kind))))
+        asked = keys.toDF("k").select(F.col("k").cast("string").alias("k"))
+        rows = relevant(self.table.where(F.col(column).isNotNull()), column, asked)
+        if column == "record_id":
+            ids = asked
+        else:  # the records are known once they are found
+            rows = pin(rows)
+            ids = rows.select("record_id")
         name = f"write_backs/{self.entity}"
-        return apply_write_backs(rows, self.log.latest(name, self.log.find(name, self.before, rows.select("record_id"))).drop("written"))
+        return apply_write_backs(rows, self.log.latest(name, self.log.find(name, self.before, ids)).drop("written"))

@@ -307,7 +307,7 @@ def j8_parent(spark, sf):
 @query
 def j9_reread(spark, sf):
     """What each company event stands for, by the sync's own re-read."""
-    events = normalised_events(spark, sf).where(col("error").isNull() & (col("entity") == C.COMPANY))
+    events = S.pin(normalised_events(spark, sf)).where(col("error").isNull() & (col("entity") == C.COMPANY))
     changes = S.pin(events.select(col("event_id").alias("seq"), "entity", "record_id", "fields"))
     rows = S.pin(S.work_rows(changes, derived(spark, sf, "rec_companies"), S.SPECS[C.COMPANY]))
     now = rows.where("in_source").select("record_id", F.lit("current").alias("origin"), "company_name")
