@@ -143,7 +143,8 @@ UTILITIES VENTURE_CAPITAL_PRIVATE_EQUITY VETERINARY WAREHOUSING WHOLESALE WINE_A
 WIRELESS WRITING_AND_EDITING MOBILE_GAMES
 """.split()
 
-# everyday label -> accepted industry (labels are compared trimmed, in lower case)
+# --- fixed values: everyday labels of accepted industries (compared trimmed, in lower case) ---
+
 INDUSTRY_ALIASES = {
     "agriculture": "FARMING",
     "biotech": "BIOTECHNOLOGY",
@@ -197,11 +198,13 @@ INDUSTRY_ALIASES = {
     "non-profit": "NON_PROFIT_ORGANIZATION_MANAGEMENT",
 }
 
-# words of a boolean column
+# --- fixed values: words of a boolean column ---------------------------------------
+
 TRUE_WORDS = ["true", "1", "yes", "y", "t"]
 FALSE_WORDS = ["false", "0", "no", "n", "f"]
 
-# month names: the full name, its first three letters, and "sept"
+# --- fixed values: month names; accepted are the full name, its first three letters, and "sept" ---
+
 MONTHS = [
     "january", "february", "march", "april", "may", "june",
     "july", "august", "september", "october", "november", "december",
