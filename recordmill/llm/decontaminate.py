@@ -179,4 +179,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs``, all columns, whose text has no overlap with the benchmark."""
     leaked = pin(overlaps(docs, benchmark).select(F.col("text_sha256").alias("leaked")).distinct())
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.join(leaked, F.sha2(text.cast("binary"), 256) == F.col("leaked"), "left_anti")
+    return docs.join(leaked, F.sha2(text.cast("binary"), 256) == leaked["leaked"], "left_anti")

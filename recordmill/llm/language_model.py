@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordmill.llm.text import received, sent
 from recordmill.llm.words import spaced_words
 from recordmill.plans.pins import pin
 
@@ -128,10 +129,10 @@ def encoded(docs: DataFrame, words: Vocabulary) -> DataFrame:
     ``(row, doc_id, held_out, n_tokens, n_known, log_known, log_other, classes, rare)``: ``log_known``
     sums log10(c+1) over the known tokens, ``log_other`` over those without a class of their own.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    shared = sent(docs.sparkSession, words)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v = received(shared)
         logs = np.log10(v.counts + 1)
         other = np.where(v.classes >= v.first_bucket, logs, 0)
         seen = v.counts > 0
@@ -230,10 +231,10 @@ def contexts(classes: np.ndarray, start: int) -> np.ndarray:
 
 def _train_round(rows: DataFrame, model: LogBilinear, unigram: np.ndarray, rate: float) -> bool:
     """Each task trains on its texts; the model becomes the mean by tokens. False without any text."""
-    shared = rows.sparkSession.sparkContext.broadcast((model, unigram))
+    shared = sent(rows.sparkSession, (model, unigram))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, unigram = shared.value
+        start, unigram = received(shared)
         own = LogBilinear(start.size, start.bias, start.output.shape[1])
         own.load(start.flat())
         rates = [np.full_like(p, 20.0) for p in own.parts()]
@@ -322,10 +323,10 @@ def scored(docs: DataFrame, known: int = KNOWN, word_classes: int = WORD_CLASSES
     model = train(rows, words, rounds)
     share = np.zeros(words.size)
     share[words.first_bucket :] = np.log10(words.bucket_sizes)
-    shared = docs.sparkSession.sparkContext.broadcast((model.tables(), share))
+    shared = sent(docs.sparkSession, (model.tables(), share))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, share = shared.value
+        tables, share = received(shared)
         for part in parts:
             found = [0.0] * part.num_rows
             for k, text in enumerate(part.column(6)):

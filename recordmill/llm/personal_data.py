@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordmill.llm.text import received, sent
+
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the base spans.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -337,10 +339,10 @@ def personal_data(docs: DataFrame, model: Field | None = None) -> DataFrame:
     in code points, by start. A null text counts as empty. Other columns are ignored.
     """
     model = model or fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent(docs.sparkSession, model)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = received(shared)
         for part in parts:
             counts, digests, spans = [], [], []
             for x in part.column(1):

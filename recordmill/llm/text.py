@@ -1,7 +1,10 @@
 """Column expressions and row selection that several operators share."""
 
+import pickle
 import string
+from typing import Any
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,15 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def sent(spark: SparkSession, value: Any) -> Broadcast[bytes]:
+    """``value`` for all tasks, with the classes it is made of: executors need no copy of this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared: Broadcast[bytes]) -> Any:
+    return pickle.loads(shared.value)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is; null counts as empty."""
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
@@ -34,8 +46,9 @@ def keep_one_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
     taken for copies of one another, and then one of them stays. ``kept`` has a row per
     kept document; all columns of ``docs`` are returned.
     """
-    columns = docs.columns
-    mine = docs.withColumns({"_id": F.col("doc_id"), "_digest": digest(F.col("text"))})
+    columns = [F.col("doc").getField(c).alias(c) for c in docs.columns]
+    mine = docs.select(  # the columns in a struct, so none of them is taken for those added
+        F.struct("*").alias("doc"), F.col("doc_id").alias("_id"), digest(F.col("text")).alias("_digest"))
     keys = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_digest"))
     match = F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest"))
     stay = mine.join(keys, match, "left_semi")
