@@ -21,7 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under one half. The classifier learns from the labels of these documents."""
     labels = read_texts(spark, f"{sf_dir}/labels.parquet")
     model = fit(docs, labels, ~held_out(F.col("doc_id")))
-    return score(docs, model).where("toxicity_score < 0.5").select(*docs.columns)
+    name = "score" + "_" * max(map(len, docs.columns))  # longer than the documents' own columns
+    return score(docs, model, name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
