@@ -1,14 +1,16 @@
 """Personal data in whole texts: fixed patterns, and a semi-Markov conditional random field beside them.
 
 The patterns give the base spans, which always stay. The field looks at islands: runs of words
-with a digit or an ``@``, and a word on either side; elsewhere nothing can be an entity. An island
-is cut into units (letters, digits, single signs). Every run of up to ``LONGEST`` units is a
-candidate segment, scored by features of the whole span; a dynamic program chooses
-boundaries and kinds together, and what does not overlap a base span is added.
-
-The field is trained by likelihood on islands of at most ``TRAIN_DOCS`` documents, where base
-spans are the entities, and on copies of these islands with an entity written in another of the ways people
-write it, which the patterns do not match.
+with a digit, an ``@`` or an ``at`` in brackets, with at most one word between them and one on either
+side; all ways of writing an entity that it is trained on have one of these marks. An island is cut into
+units (letters, digits, single signs). Every run of up to ``LONGEST`` units and ``REACH`` characters with a mark
+is a candidate segment, scored by features of the whole span; a dynamic program chooses boundaries and kinds
+together, and what does not overlap a base span is added. The patterns are searched in time linear in the text.
+
+The field is trained by likelihood on at most ``TRAIN_ISLANDS`` islands of at most ``TRAIN_DOCS`` documents, where
+base spans are the entities, on copies of these islands with an entity written in another of the ways people
+write it, which the patterns do not match, and on copies with an address that has lost its dots, which is
+none. Training islands have at most ``TRAIN_LENGTH`` characters and ``TRAIN_UNITS`` units; scoring has no such bound.
 """
 
 import hashlib
@@ -31,16 +33,28 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+#: Searched in place of the patterns, with the same matches: an address is found from its ``@``, and a group of digits
+#: that follows a digit starts no match that its whole run does not.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP_RUN = re.compile("(?<![0-9])" + IP.pattern)
+
 LONGEST = 16
+REACH = 320
 FEATURES = 1 << 13
 TRAIN_DOCS = 3000
 TRAIN_ISLANDS = 1500
+TRAIN_LENGTH = 1000
+TRAIN_UNITS = 80
 EPOCHS = 6
 WINDOW = 2048
 
 Span = tuple[int, int, int]  # start, end, kind
 
 SIGNAL = re.compile(r"[0-9@]")
+AT = re.compile(r"[(\[{]at[)\]}]", re.IGNORECASE)
+ADDRESS = re.compile(rf"[\w.%+-]+\s?(@|{AT.pattern})\s?{HOST.pattern}", re.IGNORECASE)
+MARK = re.compile(f"{SIGNAL.pattern}|{AT.pattern}", re.IGNORECASE)
 UNIT = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 WORD = re.compile(r"\S+")
 
@@ -57,26 +71,25 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
-def _emails(text: str) -> Iterator[re.Match]:
-    """Matches of ``EMAIL``; as none holds white space, only the words around an ``@`` are searched."""
-    at, done = text.find("@"), 0
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of ``EMAIL``, each from its ``@``."""
+    at, low = text.find("@"), 0
     while at >= 0:
-        start = at
-        while start > done and not text[start - 1].isspace():
-            start -= 1
-        end = at
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        yield from EMAIL.finditer(text, start, end)
-        done, at = end, text.find("@", end)
+        local = text[low:at]
+        start = low + len(local.rstrip(LOCAL))
+        host = HOST.match(text, at + 1) if start < at else None
+        if host:
+            yield start, host.end()
+        low = host.end() if host else at + 1
+        at = text.find("@", low)
 
 
 def base_spans(text: str) -> list[Span]:
     """Leftmost non-overlapping matches of each kind that hold their check, by start and kind."""
     if not SIGNAL.search(text):
         return []
-    found = [(m.start(), m.end(), 0) for m in _emails(text)]
-    found += [(m.start(), m.end(), 1) for m in IP.finditer(text)
+    found = [(a, b, 0) for a, b in _emails(text)]
+    found += [(m.start(), m.end(), 1) for m in IP_RUN.finditer(text)
               if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
     found += [(m.start(), m.end(), 2) for m in CARD.finditer(text)
               if 14 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
@@ -85,20 +98,20 @@ def base_spans(text: str) -> list[Span]:
 
 
 def islands(text: str) -> list[tuple[int, int]]:
-    """Where entities can be: words with a digit or ``@`` that follow one another, and one word on either side."""
+    """Where entities can be: marked words with at most one word between them, and one word on either side."""
     found: list[tuple[int, int]] = []
-    reach = None  # the last word was in an island
-    before = None
+    inside = False  # the last word was marked
+    before = 0  # where it starts
     for word in WORD.finditer(text):
-        if SIGNAL.search(word[0]):
-            if reach is not None:
+        if MARK.search(word[0]):
+            if found and before < found[-1][1]:
                 found[-1] = (found[-1][0], word.end())
             else:
-                found.append((before if before is not None else word.start(), word.end()))
-            reach = True
-        elif reach:
+                found.append((before, word.end()))
+            inside = True
+        elif inside:
             found[-1] = (found[-1][0], word.end())
-            reach = None
+            inside = False
         before = word.start()
     return found
 
@@ -120,10 +133,13 @@ def span_features(text: str, start: int, end: int) -> list[int]:
     """Hashed features of a whole candidate span and of what stands next to it."""
     span = text[start:end]
     digits = _digits(span)
-    parts = re.split(r"[.]", span)
+    parts = re.split(r"[\s\[({]*\.[\s\])}]*", span)
+    shape = shape_of(span)
     names = [
-        "any", f"shape {shape_of(span)}", f"digits {min(len(digits), 20)}", f"at {span.count('@')}",
-        f"dots {min(span.count('.'), 5)}", f"first {shape_of(span[0])}", f"last {shape_of(span[-1])}",
+        "any", f"shape {shape}", f"form {re.sub('9[1-5]', '9', shape)}",
+        f"digits {min(len(digits), 20)}", f"at {span.count('@')}",
+        f"address {bool(ADDRESS.fullmatch(span))}", f"dots {min(span.count('.'), 5)}",
+        f"first {shape_of(span[0])}", f"last {shape_of(span[-1])}",
         f"letters {any(c.isalpha() for c in span)}", f"blanks {min(sum(c.isspace() for c in span), 5)}",
         f"signs {''.join(sorted(set(re.sub(r'[A-Za-z0-9]', '', span))))[:8]}",
         f"card {14 <= len(digits) <= 19 and luhn(digits)}",
@@ -135,17 +151,19 @@ def span_features(text: str, start: int, end: int) -> list[int]:
 
 
 def candidates(text: str, units: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Segments (unit numbers, end exclusive) that hold a digit or ``@``, and their features."""
-    signal = [bool(SIGNAL.search(text[a:b])) for a, b in units]
+    """Segments (unit numbers, end exclusive) that hold a mark, and their features."""
+    signal = [bool(SIGNAL.search(text, a, b) or a and AT.match(text, a - 1, b + 1)) for a, b in units]
     found, rows = [], []
     for i in range(len(units)):
         has = False
         for j in range(i, min(i + LONGEST, len(units))):
+            if units[j][1] - units[i][0] > REACH:
+                break
             has = has or signal[j]
             if has:
                 found.append((i, j + 1))
                 rows.append(span_features(text, units[i][0], units[j][1]))
-    return found, np.array(rows, np.int64).reshape(len(found), -1)
+    return found, np.array(rows, np.int64) if rows else np.zeros((0, 1), np.int64)
 
 
 def _lattice(n: int, segments: list[tuple[int, int]], scores: np.ndarray) -> np.ndarray:
@@ -228,7 +246,7 @@ def disguises(entity: str, kind: int) -> list[str]:
 
 
 def examples(text: str) -> list[tuple[str, list[Span]]]:
-    """Islands of a text with their entities, each also with its first entity disguised."""
+    """Islands of a text with their entities, each also with its first entity disguised, and with one that is no more one."""
     spans, found = base_spans(text), []
     for a, b in islands(text):
         inside, last = [], 0
@@ -245,6 +263,8 @@ def examples(text: str) -> list[tuple[str, list[Span]]]:
             grown = len(other) - (e - s)
             moved = [(s, s + len(other), kind)] + [(x + grown, y + grown, z) for x, y, z in inside[1:]]
             found.append((island[:s] + other + island[e:], moved))
+            if kind == 0:  # without dots there is no host
+                found.append((island[:s] + other.replace(".", " ") + island[e:], moved[1:]))
     return found
 
 
@@ -255,7 +275,7 @@ def train(islands_with_spans: list[tuple[str, list[Span]]], epochs: int = EPOCHS
         units = [m.span() for m in UNIT.finditer(text)]
         first, last = {a: k for k, (a, _) in enumerate(units)}, {b: k + 1 for k, (_, b) in enumerate(units)}
         gold = [(first.get(s), last.get(e), kind) for s, e, kind in spans]
-        if any(i is None or j is None or j - i > LONGEST for i, j, _ in gold) or not 0 < len(units) <= 80:
+        if any(i is None or j is None or j - i > LONGEST for i, j, _ in gold) or not 0 < len(units) <= TRAIN_UNITS:
             continue
         segments, rows = candidates(text, units)
         if {(i, j) for i, j, _ in gold} <= set(segments):
@@ -318,7 +338,7 @@ def fit(docs: DataFrame, documents: int = TRAIN_DOCS, most: int = TRAIN_ISLANDS)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows = [(t, s) for x in part.column(0) for t, s in examples(x.as_py()) if len(t) <= 1000]
+            rows = [(t, s) for x in part.column(0) for t, s in examples(x.as_py()) if len(t) <= TRAIN_LENGTH]
             flat = [[v for span in s for v in span] for _, s in rows]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([t for t, _ in rows], pa.string()), pa.array(flat, pa.list_(pa.int64()))], ["island", "spans"])
@@ -348,7 +368,7 @@ def personal_data(docs: DataFrame, model: Field | None = None) -> DataFrame:
             for x in part.column(1):
                 text = x.as_py() or ""
                 base = base_spans(text)
-                more = added_spans(text, known, base) if SIGNAL.search(text) else []
+                more = added_spans(text, known, base) if MARK.search(text) else []
                 counts.append([sum(k == kind for _, _, k in base) for kind in range(len(KINDS))])
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 spans.append(joined(base + more))
