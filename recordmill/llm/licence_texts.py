@@ -1,4 +1,4 @@
-"""Texts of short public licences, as published."""
+"""Texts of short public licences, as published, their titles, and digests of long ones."""
 
 _DISCLAIMER = (
     "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
@@ -30,7 +30,7 @@ _ISC_WARRANTY = (
 
 LICENCES = {
     "MIT": (
-        "MIT License\n\nCopyright (c) <year> <copyright holders>\n\nPermission is hereby granted, free of charge, to "
+        "Copyright (c) <year> <copyright holders>\n\nPermission is hereby granted, free of charge, to "
         "any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal "
         "in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
         "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
@@ -63,6 +63,93 @@ LICENCES = {
         "required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as "
         "being the original software.\n\n3. This notice may not be removed or altered from any source distribution."
     ),
-    "MIT-statement": "Released under the MIT License.",
+    "Apache-2.0-notice": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+        "compliance with the License. You may obtain a copy of the License at\n\n"
+        "http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, "
+        "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS "
+        "OF ANY KIND, either express or implied. See the License for the specific language governing permissions and "
+        "limitations under the License."
+    ),
+    "GPL-3.0-or-later-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public "
+        "License along with this program. If not, see <https://www.gnu.org/licenses/>."
+    ),
+    "MPL-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+        "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "Apache-2.0-statement": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-NC-4.0-statement": "Licensed under CC BY-NC 4.0.",
+    "GPL-3.0-statement": "This work is licensed under the GNU General Public License, version 3.",
+    "MIT-statement": "Released under the MIT License.",
+}
+
+#: Titles that the texts above are also published under.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "Zlib": ("zlib License", "The zlib/libpng License"),
+}
+
+#: SHA-256 of the canonical form of the whole published text.
+DIGESTS = {
+    "Apache-2.0": (
+        "f92c423b6d6da66caa78abd6f49f73f5bc8715dca82e1a73f62d1e6eec41986c",
+        "09ad3868555dada25cbf24199409a8c1e39fe8ef08d164adc6e98c1d02767793",
+        "0c625737207ff21211498d94941901de5bca68c965547007c169a1e718b97f16",
+    ),
+    "Artistic-1.0-Perl": (
+        "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
+    ),
+    "CC0-1.0": (
+        "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    ),
+    "GFDL-1.2": (
+        "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60",
+    ),
+    "GFDL-1.3": (
+        "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826",
+    ),
+    "GPL-1.0": (
+        "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+        "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc",
+        "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70",
+    ),
+    "GPL-2.0": (
+        "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+        "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34",
+        "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808",
+    ),
+    "GPL-3.0": (
+        "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+        "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636",
+        "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191",
+    ),
+    "LGPL-2.0": (
+        "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+        "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260",
+        "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2",
+    ),
+    "LGPL-2.1": (
+        "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+        "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4",
+        "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df",
+    ),
+    "LGPL-3.0": (
+        "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    ),
+    "MPL-1.1": (
+        "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6",
+    ),
+    "MPL-2.0": (
+        "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",
+    ),
 }

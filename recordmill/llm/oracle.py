@@ -22,9 +22,12 @@ def _canonical(text: str) -> str:
 
 
 def _licence_scan() -> str:
-    texts = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licences.LICENCES.items())
+    texts = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licences.forms())
+    digests = ", ".join(f"({_quoted(n)}, {_quoted(d)})" for n, ds in licences.DIGESTS.items() for d in ds)
     return f"""
-        WITH known AS (SELECT sha256({_canonical('t')}) AS k, min(n) AS licence FROM (VALUES {texts}) v(n, t) GROUP BY 1),
+        WITH named AS (SELECT sha256({_canonical('t')}) AS k, n FROM (VALUES {texts}) v(n, t)
+                       UNION ALL SELECT d, n FROM (VALUES {digests}) w(n, d)),
+        known AS (SELECT k, min(n) AS licence FROM named GROUP BY 1),
         mine AS (SELECT doc_id, sha256({_canonical('text')}) AS canonical_sha256 FROM documents)
         SELECT doc_id, licence, canonical_sha256 FROM mine LEFT JOIN known ON k = canonical_sha256"""
 
