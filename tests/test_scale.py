@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from recordmill.operators.batches import numbered_batches, range_sliced, slices_for
 from recordmill.operators.report import attempt_signals, percentiles
+from recordmill.plans.pins import pin
 from recordmill.sources import modified_since, read_csv, read_csv_by_records, scan_pages
 from recordmill.sources.records import cursor
 
@@ -94,6 +95,17 @@ def test_pages_of_a_scan_join_without_a_gap(spark):
         next(scan_pages(table, "2024-01-01 00:00:00", 0))
 
 
+def test_a_scan_in_many_pages_reads_the_table_once(spark, monkeypatch):
+    from recordmill.sources import records
+
+    written = []
+    monkeypatch.setattr(records, "pin", lambda df: written.append(df) or pin(df))
+    table = spark.range(60).selectExpr("concat('r', id % 50) as record_id", "timestamp_ntz '2024-01-02 00:00:00' as last_modified")
+    pages = list(scan_pages(table, "2024-01-01 00:00:00", 3))
+    assert len(pages) == 20 and len(written) == 1
+    assert sorted(r.record_id for p in pages for r in p.collect()) == sorted(r.record_id for r in table.collect())
+
+
 @pytest.mark.parametrize("rows", [3_000, 12_000])
 def test_slices_follow_the_rows(spark, rows):
     frame = spark.range(rows).selectExpr("id * 7919 % 1000003 as k")

@@ -468,8 +468,7 @@ def s1_csv_split(spark, sf):
 @query
 def l1_pages(spark, sf):
     """A capped scan, gone on with until its end; very many deals share a modification time."""
-    pages = scan_pages(derived(spark, sf, "rec_deals"), SINCE["deals"], 4000)
-    return reduce(DataFrame.unionByName, [p.select(F.lit(n).alias("page"), "record_id") for n, p in enumerate(pages)])
+    return scan_pages(derived(spark, sf, "rec_deals"), SINCE["deals"], 4000).rows.select("page", "record_id")
 
 
 @query
