@@ -42,7 +42,7 @@ def pin(df: DataFrame, reader: SparkSession | None = None) -> DataFrame:
     path = fresh_path(df.sparkSession)
     if (made := _scope.get()) is not None:
         made.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return (reader or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
