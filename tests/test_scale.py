@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from recordmill.operators.batches import numbered_batches, range_sliced, slices_for
 from recordmill.operators.report import attempt_signals, percentiles
+from recordmill.operators.lookup import hot_keys, lookup, relevant
 from recordmill.plans.pins import pin
-from recordmill.sources import modified_since, read_csv, read_csv_by_records, scan_pages
+from recordmill.sources import modified_since, read_csv, read_csv_by_records, read_table, scan_pages, tables
 from recordmill.sources.records import cursor
 
 
@@ -106,6 +107,38 @@ def test_a_scan_in_many_pages_reads_the_table_once(spark, monkeypatch):
     assert sorted(r.record_id for p in pages for r in p.collect()) == sorted(r.record_id for r in table.collect())
 
 
+def test_large_files_are_read_as_they_lie(spark, tmp_path, monkeypatch):
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    assert read_table(spark, str(tmp_path / "t"), 3).rdd.getNumPartitions() == 3
+    monkeypatch.setattr(tables, "BYTES_PER_TASK", 1)
+    table = read_table(spark, str(tmp_path / "t"), 3)
+    assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString() and table.count() == 1000
+
+
+def test_hot_keys_are_found_by_their_hash(spark):
+    rows = spark.range(5000).selectExpr("case when id % 10 = 0 then null when id % 2 = 0 then 'hot' else concat('k', id) end as k")
+    assert [tuple(r) for r in hot_keys(rows, F.col("k"), 500).collect()] == [("hot", 4)]
+    assert hot_keys(rows, F.col("k"), 2000) is None
+
+
+def test_few_keys_filter_a_table_without_a_shuffle(spark):
+    parents = spark.range(1000).selectExpr("concat('k', id) as id", "id as n")
+    keys = spark.createDataFrame([("k1",), ("k1",), (None,), ("none",), ("k7",)], "k string")
+    found = relevant(parents, "id", keys)
+    assert sorted(r.n for r in found.collect()) == [1, 7]
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().toString()
+    assert relevant(parents, "id", keys, exact=False).count() == 2
+
+
+@pytest.mark.parametrize("text", [True, False])
+def test_rows_without_a_key_meet_no_parent(spark, text):
+    kind = "string" if text else "bigint"
+    rows = spark.range(400).selectExpr("id", f"cast(case when id % 4 > 0 then id end as {kind}) as k")
+    parents = spark.range(1 << 16).selectExpr(f"cast(id as {kind}) as p", "id as n")  # every spread number is a key
+    found = lookup(rows, parents, F.col("k"), "p", {"n": "n"}, ["id"]).collect()
+    assert {r.id: r.n for r in found} == {n: n if n % 4 else None for n in range(400)} and len(found) == 400
+
+
 @pytest.mark.parametrize("rows", [3_000, 12_000])
 def test_slices_follow_the_rows(spark, rows):
     frame = spark.range(rows).selectExpr("id * 7919 % 1000003 as k")
