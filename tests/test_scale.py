@@ -6,10 +6,13 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from recordmill.operators import lookup as lookups
 from recordmill.operators.batches import numbered_batches, range_sliced, slices_for
+from recordmill.operators.lookup import few, hot_keys, lookup, relevant
+from recordmill.operators.merge import fold_changes
 from recordmill.operators.report import attempt_signals, percentiles
-from recordmill.operators.lookup import hot_keys, lookup, relevant
 from recordmill.plans.pins import pin
+from recordmill.session import tune
 from recordmill.sources import modified_since, read_csv, read_csv_by_records, read_table, scan_pages, tables
 from recordmill.sources.records import cursor
 
@@ -130,6 +133,41 @@ def test_few_keys_filter_a_table_without_a_shuffle(spark):
     assert relevant(parents, "id", keys, exact=False).count() == 2
 
 
+def test_many_or_long_keys_are_not_broadcast(spark, monkeypatch):
+    parents = spark.range(1000).selectExpr("concat('k', id) as id", "id as n")
+    keys = spark.range(0, 1000, 10).selectExpr("concat('k', id) as k")
+    for name, most in (("FEW", 99), ("FEW_BYTES", 300)):
+        with monkeypatch.context() as m:
+            assert few(keys)
+            m.setattr(lookups, name, most, raising=False)
+            assert not few(keys) and relevant(parents, "id", keys).count() == 100
+    assert not few(spark.range(200_000).selectExpr("concat('k', id) as k"))
+
+
+def test_a_small_file_of_many_rows_is_not_broadcast(spark):
+    session = tune(spark.newSession())
+    rows, ids = (pin(session.range(600_000).selectExpr("concat('rec', id) as id", f"id as {n}")) for n in "ab")
+    joined = rows.join(ids, "id", "left")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.where("a = b").count() == 600_000
+    narrow = spark.newSession()
+    narrow.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    assert tune(narrow).conf.get("spark.sql.autoBroadcastJoinThreshold") == "256k"
+    assert tune(session).conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == str(10 << 20)
+
+
+def test_changes_are_folded_by_property(spark):
+    rng = random.Random(5)
+    names = ["name", "quantity", "price", "external_source_id", "external_source_system"]
+    rows = [(rng.choice(["a", "b", "c", "d", None]), rng.choice([None, 1, 2, 3]), f"r{n:03}",
+             tuple(rng.choice([None, "x", "y", "z"]) if rng.random() < 0.3 else f"{p}{n}" for p in names)) for n in range(300)]
+    frame = spark.createDataFrame(rows, f"target_id string, seq bigint, record_id string, props struct<{', '.join(f'{n}: string' for n in names)}>")
+    want = {}
+    for target, _, _, values in sorted((r for r in rows if r[0]), key=lambda r: (r[1] or 0, r[2])):
+        want[target] = tuple(new if new is not None else old for new, old in zip(values, want.get(target, (None,) * 5)))
+    assert {r.id: tuple(r[n] for n in names) for r in fold_changes(frame, "line_items").collect()} == want
+
+
 @pytest.mark.parametrize("text", [True, False])
 def test_rows_without_a_key_meet_no_parent(spark, text):
     kind = "string" if text else "bigint"
