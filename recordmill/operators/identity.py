@@ -140,7 +140,7 @@ def find_parents(children: DataFrame, parents: DataFrame, link: Column, business
     linked = children.withColumn("_link", link)
     linked = lookup(linked, parents, F.col("_link"), "record_id",
                     {"_p1": "record_id", "_k1": C.KNOWN_ID}, ["work_key"],
-                    (children, link))
+                    (children, link), apart=True)
     if business_key is None:
         return linked.withColumnsRenamed({"_p1": "parent_record", "_k1": "parent_known_id"}).drop("_link")
     by_key = first_by(parents, F.nullif(F.col(parent_key).cast("string"), F.lit("")), "record_id",

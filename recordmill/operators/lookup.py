@@ -64,14 +64,20 @@ def lookup(
     spread: list[str],
     counted: tuple[DataFrame, Column] | None = None,
     rows_per_task: int | None = None,
+    apart: bool = False,
 ) -> DataFrame:
     """``children`` plus the columns ``take`` (new name -> parent column), null where not found.
 
     ``parents`` has one row per ``parent_key``. ``spread`` names columns that
     tell child rows apart. ``counted`` is a cheaper frame, and the key in it, to
     find hot keys with, when the children are the result of a long plan; it may
-    count more rows than the children have.
+    count more rows than the children have. With ``apart`` rows without a key are not moved at all, which
+    reads the children twice: for pinned ones.
     """
+    if apart:
+        found = lookup(children.where(key.isNotNull()), parents, key, parent_key, take, spread, counted, rows_per_task)
+        kinds = {name: parents.schema[c].dataType for name, c in take.items()}
+        return found.unionByName(children.where(key.isNull()).withColumns({n: F.lit(None).cast(k) for n, k in kinds.items()}))
     counted, counted_key = counted or (children, key)
     wanted = parents.select(
         F.col(parent_key).alias("_parent_key"), *[F.col(c).alias(name) for name, c in take.items()]

@@ -32,6 +32,11 @@ def _props(object_type: str, source: str, system: str, key: str, values: dict[st
     )
 
 
+def record_external_id(object_type: str) -> Column:
+    """The external id that the record mappers give."""
+    return R.external_id(C.RECORD_SOURCE, object_type, F.col("record_id"))
+
+
 def _mapped(df: DataFrame, props: Column, error: Column, warnings: list[Column]) -> DataFrame:
     # props stays a projection of its own, so that a warning reads a result and does not redo it
     none = F.array().cast("array<string>")

@@ -20,11 +20,11 @@ from recordmill.operators import edges as E
 from recordmill.operators import merge as M
 from recordmill.operators.batches import numbered_batches
 from recordmill.operators.identity import find_parents, resolve
-from recordmill.operators.lookup import lookup, relevant
-from recordmill.operators.mapping import RECORD_SPECS, RecordSpec
+from recordmill.operators.lookup import few, lookup, relevant
+from recordmill.operators.mapping import RECORD_SPECS, RecordSpec, record_external_id
 from recordmill.operators.validate import first_broken, is_blank
 from recordmill.plans.pins import pin
-from recordmill.sources.records import modified_since
+from recordmill.sources.records import changed_after, modified_since
 
 #: No retry changes these.
 PERMANENT_CODES = (C.VALIDATION_ERROR, C.MISSING_REFERENCE)
@@ -52,8 +52,9 @@ def table_of(source: "DataFrame | Records") -> DataFrame:
     return source if isinstance(source, DataFrame) else source.table
 
 
-def pick(source: "DataFrame | Records", column: str, keys: DataFrame) -> DataFrame:
-    return relevant(source, column, keys) if isinstance(source, DataFrame) else source.pick(column, keys)
+def pick(source: "DataFrame | Records", column: str, keys: DataFrame, exact: bool = True) -> DataFrame:
+    """The rows that some key names; without ``exact`` a table that many keys name comes whole, as it is."""
+    return relevant(source, column, keys, exact) if isinstance(source, DataFrame) else source.pick(column, keys)
 
 
 def records(source: DataFrame, spec: RecordSpec) -> DataFrame:
@@ -92,45 +93,60 @@ def payload_records(changes: DataFrame, spec: RecordSpec, like: DataFrame) -> Da
     return raw.select("record_id", "seq", *out)
 
 
-def work_rows(changes: DataFrame, source: DataFrame, spec: RecordSpec) -> DataFrame:
+def work_rows(changes: DataFrame, source: DataFrame, spec: RecordSpec, keep: Callable[[DataFrame], DataFrame] = pin) -> DataFrame:
     """What each change stands for: the record as it is now, or its payload where it is gone.
 
     One row per record that can be read, whatever the number of its changes; one
     row per change that has to be taken from its payload; changes with neither
-    are ``record_not_found``.
+    are ``record_not_found``. Records are kept as they were read, with a ``work_id``; what the mapper adds is computed
+    where it is read.
     """
     mine = changes.where(F.col("entity") == spec.entity)
     now = records(table_of(source), spec)  # for its columns
     asked = mine.groupBy("record_id").agg(F.min("seq").alias("seq"))
-    current = records(pick(source, "record_id", asked.select("record_id")), spec).join(asked, "record_id").withColumn(
-        "work_key", F.col("record_id")
-    ).withColumn("in_source", F.lit(True))
-    # a record with very many changes is split among tasks
-    gone = lookup(mine, current.select(F.col("record_id").alias("_id")), F.col("record_id"), "_id", {"_now": "_id"},
-                  ["seq"]).where(F.col("_now").isNull()).drop("_now")
-    payload = payload_records(gone.where(F.col("fields").isNotNull()), spec, now).withColumn(
-        "work_key", F.concat_ws("#", "record_id", F.lpad(F.col("seq").cast("string"), 20, "0"))
-    ).withColumn("in_source", F.lit(False))
+    near = records(pick(source, "record_id", asked.select("record_id"), exact=False), spec).withColumn("in_source", F.lit(True))
+    # one join tells the records that are there and those that are gone
+    found = keep(asked.join(near, "record_id", "left").withColumn("work_id", F.monotonically_increasing_id()))
+    rows = _unless_blank(found.where("in_source").withColumn("work_key", F.col("record_id")))
+    lost = found.where(F.col("in_source").isNull()).select("record_id")
+    if not lost.isEmpty():
+        rows = rows.unionByName(keep(_gone(mine, lost, spec, now)))
+    return spec.mapper(rows).withColumn("asked", F.lit(True))
+
+
+def _unless_blank(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("skip", F.when(is_blank(rows, ("seq", "work_key", "work_id", "in_source")), F.lit(C.BLANK_RECORD)))
+
+
+def _gone(mine: DataFrame, lost: DataFrame, spec: RecordSpec, like: DataFrame) -> DataFrame:
+    """Work rows of the changes whose records are ``lost`` (each once) or not named: from their payload, or not found."""
+    if few(lost):
+        gone = mine.join(F.broadcast(lost), "record_id", "left_semi")
+    else:  # a record with very many changes is split among tasks
+        gone = lookup(mine, lost.select(F.col("record_id").alias("_id")), F.col("record_id"), "_id", {"_lost": "_id"},
+                      ["seq"]).where(F.col("_lost").isNotNull()).drop("_lost")
+    gone = gone.unionByName(mine.where(F.col("record_id").isNull()))
+    work_key = F.concat_ws("#", "record_id", F.lpad(F.col("seq").cast("string"), 20, "0"))
+    payload = _unless_blank(payload_records(gone.where(F.col("fields").isNotNull()), spec, like).withColumns(
+        {"work_key": work_key, "in_source": F.lit(False)}))
     missing = gone.where(F.col("fields").isNull()).select(
-        "record_id", "seq",
-        F.concat_ws("#", "record_id", F.lpad(F.col("seq").cast("string"), 20, "0")).alias("work_key"),
-        F.lit(C.RECORD_NOT_FOUND).alias("skip"),
-    )
-    rows = current.unionByName(payload)
-    rows = rows.withColumn("skip", F.when(is_blank(rows, ("seq", "work_key", "in_source")), F.lit(C.BLANK_RECORD)))
-    return spec.mapper(rows.unionByName(missing, allowMissingColumns=True)).withColumn("asked", F.lit(True))
+        "record_id", "seq", work_key.alias("work_key"), F.lit(C.RECORD_NOT_FOUND).alias("skip"))
+    return payload.unionByName(missing, allowMissingColumns=True).withColumn("work_id", -1 - F.monotonically_increasing_id())
 
 
-def _pulled(children: list[DataFrame], work: DataFrame, source: DataFrame, spec: RecordSpec) -> DataFrame:
+def _pulled(children: list[DataFrame], work: DataFrame, source: DataFrame, spec: RecordSpec,
+            keep: Callable[[DataFrame], DataFrame] = pin) -> DataFrame:
     """``work`` plus the unsynced parents its children need and no change names."""
     needed = reduce(DataFrame.unionByName, [
         c.where(F.col("needs_parent")).select(F.col("parent_record").alias("record_id")) for c in children
     ]).distinct()
-    extra = needed.join(work.where("in_source").select("record_id"), "record_id", "left_anti")
-    rows = records(pick(source, "record_id", extra), spec).withColumns({
+    extra = keep(needed.join(work.where("in_source").select("record_id"), "record_id", "left_anti"))
+    if extra.isEmpty():
+        return work
+    rows = keep(records(pick(source, "record_id", extra), spec).withColumns({
         "seq": F.lit(-1).cast("bigint"), "work_key": F.col("record_id"), "in_source": F.lit(True),
-        "skip": F.lit(None).cast("string"),
-    })
+        "skip": F.lit(None).cast("string"), "work_id": F.monotonically_increasing_id() + F.lit(1 << 62),
+    }))
     return work.unionByName(spec.mapper(rows).withColumn("asked", F.lit(False)), allowMissingColumns=True)
 
 
@@ -141,11 +157,15 @@ def _with_parents(work: DataFrame, parents: DataFrame, spec: RecordSpec) -> Data
     link = F.when(live, link_of(work, spec))
     key = F.when(live, F.col(spec.business_key))
     keyed = spec.business_key in table_of(parents).columns and spec.business_key in parent_spec.fields
-    # only parents that some child names, by either way, are worth a shuffle
-    candidates = records(pick(parents, "record_id", work.select(link.alias("k"))), parent_spec)
+    # only parents that some child names, by either way, are worth a shuffle; where many are named, it moves all of them
+    linked = pick(parents, "record_id", work.select(link.alias("k")), exact=False)
+    named = pick(parents, spec.business_key, work.select(key.alias("k")), exact=False) if keyed and linked is not parents else linked
+    if named is linked or named is parents:
+        candidates = records(named, parent_spec)
+    else:
+        candidates = records(linked, parent_spec).unionByName(records(named, parent_spec))
     if keyed:
-        candidates = candidates.unionByName(
-            records(pick(parents, spec.business_key, work.select(key.alias("k"))), parent_spec)).dropDuplicates(["record_id"])
+        candidates = candidates.dropDuplicates(["record_id"])
     found = find_parents(work, candidates, link, key if keyed else None, spec.business_key)
     return found.withColumn(
         "needs_parent", F.col("parent_record").isNotNull() & F.col("parent_known_id").isNull()
@@ -190,36 +210,33 @@ def sync(
     partial = not isinstance(targets, dict)
     changes = keep(changes)
     active = _active(changes)
-    work = {e: work_rows(changes, sources[e], SPECS[e]) for e in active}
+    work = {e: work_rows(changes, sources[e], SPECS[e], keep) for e in active}
+    linked: dict[str, DataFrame] = {}
 
     # children first: which unsynced parents do they pull in?
     for entity in reversed(active):
         spec = SPECS[entity]
-        work[entity] = keep(work[entity])
-        children = [work[s.entity] for s in RECORD_SPECS if s.parent == entity and s.entity in active]
+        children = [linked[s.entity] for s in RECORD_SPECS if s.parent == entity and s.entity in active]
         if children:
-            work[entity] = keep(_pulled(children, work[entity], sources[entity], spec))
+            work[entity] = _pulled(children, work[entity], sources[entity], spec, keep)
+        linked[entity] = _narrow(work[entity], spec)
         if spec.parent:
-            work[entity] = keep(_with_parents(work[entity], sources[spec.parent], spec))
+            linked[entity] = keep(_with_parents(linked[entity], sources[spec.parent], spec).drop("work_key", *spec.links))
 
     # parents first: write
     written: dict[str, DataFrame] = {}
     changed: dict[str, DataFrame] = {}
     seen: dict[str, DataFrame] = {}
-    ids: dict[str, DataFrame] = {}
-    failed: dict[str, DataFrame] = {}
+    ended: dict[str, DataFrame] = {}  # per entity: record_id, target_id or the reason why there is none
     outcomes, edges = [], []
     for entity in active:
         spec, object_type = SPECS[entity], C.OBJECT_TYPE_OF[entity]
-        rows = work[entity]
+        rows = linked[entity]
         if spec.parent:
             need = F.when(F.col("needs_parent"), F.col("parent_record"))
-            rows = lookup(rows, ids[spec.parent], need, "record_id", {"_new_parent": "target_id"},
-                          ["work_key"], (rows, need))
+            rows = lookup(rows, ended[spec.parent], need, "record_id", {"_new_parent": "target_id", "_parent_reason": "reason"},
+                          ["work_id"], (rows, need), apart=True)
             rows = rows.withColumn("parent_id", F.coalesce("parent_known_id", "_new_parent")).drop("_new_parent")
-            lost = F.when(F.col("parent_id").isNull(), F.col("parent_record"))
-            rows = lookup(rows, failed[spec.parent], lost, "record_id", {"_parent_reason": "reason"}, ["work_key"],
-                          (rows, need))
             no_parent = message(C.NO_PARENT, F.col(spec.business_key), table=C.TABLE_OF[spec.parent],
                                 links=", ".join(spec.links), key=spec.business_key)
             before, after = C.PARENT_FAILED.split("{parent}")
@@ -231,23 +248,25 @@ def sync(
             rows = rows.withColumns({"parent_id": F.lit(None).cast("string"), "parent_note": F.lit(None).cast("string")})
         live = F.col("skip").isNull() & F.col("error").isNull()
         orphan = live & F.lit(spec.required) & F.col("parent_id").isNull()
-        refused = F.when(live & ~orphan, first_broken((constraints or {}).get(object_type, [])))
+        broken = (constraints or {}).get(object_type, [])
+        kept = rows.columns
+        if broken:  # they may read any column
+            rows = _whole(rows, work[entity])
+        refused = F.when(live & ~orphan, first_broken(broken))
         rows = rows.withColumn("code", F.when(F.col("skip").isNotNull(), F.lit(None))
                                .when(F.col("error").isNotNull(), F.lit(C.VALIDATION_ERROR))
                                .when(orphan, F.lit(C.MISSING_REFERENCE))
                                .when(refused.isNotNull(), F.lit(C.TARGET_REFUSED)))
         rows = rows.withColumn("reason", F.coalesce("skip", "error", F.when(orphan, F.col("parent_note")), refused))
-        rows = keep(rows)
+        rows = keep(rows.select(*kept, "code", "reason"))
         good = rows.where(F.col("reason").isNull())
         natural = C.NATURAL_KEY[object_type]
         # several payloads of one record are one record
         identities = good.groupBy("record_id").agg(
-            F.min("seq").alias("seq"),
-            F.max_by(C.KNOWN_ID, "seq").alias("known_id"),
-            F.max_by(f"props.{C.EXTERNAL_ID}", "seq").alias("external_id"),
-            (F.max_by(f"props.{natural}", F.when(F.col(f"props.{natural}").isNotNull(), F.col("seq")))
+            F.min("seq").alias("seq"), F.max_by("known_id", "seq").alias("known_id"),
+            (F.max_by("natural_key", F.when(F.col("natural_key").isNotNull(), F.col("seq")))
              if natural else F.lit(None).cast("string")).alias("natural_key"),
-        ).withColumn("known_id", F.nullif("known_id", F.lit("")))
+        ).withColumns({"known_id": F.nullif("known_id", F.lit("")), "external_id": record_external_id(object_type)})
         identities = keep(identities)
         taken = None
         if partial:  # a part of a log, which the steps below would each filter again
@@ -257,14 +276,16 @@ def sync(
             target = targets[object_type]
         resolved = keep(resolve(identities, target, natural, batch, taken).select(
             "record_id", "known_id", "target_id", "action", "matched_by"))
-        mine = lookup(good.drop("known_id", "target_id"), resolved.withColumnRenamed("record_id", "_id"), F.col("record_id"),
-                      "_id", {c: c for c in ("known_id", "target_id", "action", "matched_by")}, ["work_key"])
-        written[object_type] = mine
+        # only payloads can be many of one record
+        mine = lookup(good.drop("known_id", "natural_key"), resolved.withColumnRenamed("record_id", "_id"),
+                      F.col("record_id"), "_id", {c: c for c in ("known_id", "target_id", "action", "matched_by")}, ["work_id"],
+                      (good.where(~F.coalesce("in_source", F.lit(False))), F.col("record_id")))
+        written[object_type] = _whole(mine, work[entity])
         seen[object_type] = target
-        changed[object_type] = M.fold_changes(mine, object_type)
-        ids[entity] = resolved.select("record_id", "target_id")
-        failed[entity] = rows.where(F.col("reason").isNotNull() & F.coalesce("in_source", F.lit(False))).select(
-            "record_id", "reason")
+        changed[object_type] = M.fold_changes(written[object_type], object_type)
+        ids = resolved.select("record_id", "target_id")
+        failed = rows.where(F.col("reason").isNotNull() & F.coalesce("in_source", F.lit(False))).select("record_id", "reason")
+        ended[entity] = ids.unionByName(failed.join(ids, "record_id", "left_anti"), allowMissingColumns=True)
         if spec.parent:
             edges.append(mine.where(F.col("parent_id").isNotNull()).select(*E.edge(
                 object_type, F.col("target_id"), C.OBJECT_TYPE_OF[spec.parent], F.col("parent_id"))))
@@ -277,6 +298,22 @@ def sync(
     )
 
 
+def _narrow(rows: DataFrame, spec: RecordSpec) -> DataFrame:
+    """What decides about a work row, without its data: that is joined back by ``work_id`` where it is read."""
+    natural = C.NATURAL_KEY[spec.object_type]
+    parent = []
+    if spec.parent:  # the names of link columns hold blanks
+        parent = [F.col("work_id").alias("work_key"), spec.business_key, *[F.col(f"`{c}`") for c in spec.links if c in rows.columns]]
+    return rows.select(
+        "work_id", "record_id", "seq", "in_source", "asked", "skip", "error", F.col(C.KNOWN_ID).alias("known_id"),
+        (F.col(f"props.{natural}") if natural else F.lit(None).cast("string")).alias("natural_key"), *parent)
+
+
+def _whole(rows: DataFrame, work: DataFrame) -> DataFrame:
+    """``rows`` with all columns of their work rows."""
+    return rows.join(work.select("work_id", *[c for c in work.columns if c not in rows.columns]), "work_id")
+
+
 def partial_taken(targets: Targets, object_type: str) -> Callable[[DataFrame], DataFrame]:
     return lambda ids: targets.taken(object_type, ids)
 
@@ -325,11 +362,15 @@ def _outcomes(changes: DataFrame, rows: DataFrame, resolved: DataFrame, spec: Re
         "parent_note",
     )
     mine = changes.where(F.col("entity") == spec.entity).select(*_named(changes))
+    # without payloads there is nothing to find by the changes' own numbers
+    payloads = rows.where(F.col("asked") & ~F.coalesce("in_source", F.lit(False))).select("seq")
+    own = spread.where(F.col("_own").isNotNull()).drop("record_id")
+    own = None if payloads.isEmpty() else F.broadcast(own) if few(payloads) else own
     shared = lookup(mine, spread.where(F.col("_own").isNull()).withColumnRenamed("record_id", "_rid"),
                     F.col("record_id"), "_rid",
                     {c: c for c in spread.columns if c not in ("record_id", "_own")}, ["seq"])
-    own = mine.join(spread.where(F.col("_own").isNotNull()).drop("record_id"), F.col("seq") == F.col("_own")).drop("_own")
-    return shared.where(F.col("status").isNotNull()).unionByName(own)
+    shared = shared.where(F.col("status").isNotNull())
+    return shared if own is None else shared.unionByName(mine.join(own, F.col("seq") == F.col("_own")).drop("_own"))
 
 
 def numbered_events(events: DataFrame, seq: str = "seq") -> DataFrame:
@@ -380,7 +421,9 @@ def rescan_changes(sources: dict[str, DataFrame], since: str, limit: int | None
     """Changes found by looking back: per table, parents first, every record modified after ``since``."""
     parts = []
     for order, entity in enumerate(C.ENTITIES):
-        found = modified_since(table_of(sources[entity]), since, limit)
+        table = table_of(sources[entity])
+        # all of them need no order: their numbers give it
+        found = changed_after(table, since) if limit is None else modified_since(table, since, limit)
         parts.append(found.select(
             # parents first, then by time; the record id decides among equals in later folds
             (F.lit(order).cast("bigint") * F.lit(1 << 60) + F.unix_micros(F.col(C.MODIFIED).cast("timestamp"))).alias("seq"),

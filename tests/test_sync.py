@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 from recordmill import contract as C
 from recordmill.functions import event_fields
+from recordmill.operators import lookup as lookups
 from recordmill.operators import merge as M
 from recordmill.operators import report as P
 from recordmill.operators.identity import new_id, resolve
 from recordmill.plans.pins import pin
-from recordmill.plans.sync import SPECS, rescan, sync, sync_events
+from recordmill.plans.sync import SPECS, rescan, rescan_changes, sync, sync_events
 
 COLUMNS = {
     C.COMPANY: "record_id string, hubspot_record_id string, company_id string, company_name string, domain string, industry string, number_of_employees string",
@@ -207,3 +208,26 @@ def test_events_to_changes(spark):
     df = spark.createDataFrame([('{"table":"Companies","recordId":"recA","fields":{"company_name":"X"}}',)], "body string")
     assert event_fields(df).first().fields == '{"company_name":"X"}'
     assert set(SPECS) == set(C.ENTITIES)
+
+
+def test_records_are_written_once_and_moved_without_their_data(spark):
+    deal = ("recDeal1", None, "D-1", "Forge refit", "$3,150", "Won", "10-28-2017", "C-1", ["recCompany1"])
+    src = tables(spark, company=[FENNEL], deal=[deal])
+    kept = []
+    result = sync(changes(spark, ("deal", "recDeal1")), src, no_targets(spark), keep=lambda df: kept.append(df.columns) or pin(df))
+    assert outcomes(result)[0].status == "synced" and result.merged("deals").first().closedate == "2017-10-28"
+    assert not any("props" in columns for columns in kept)
+    assert sum("deal_name" in columns for columns in kept) == 1
+    assert {"record_id", "deal_name", "props", "work_key", "target_id", "parent_id", "in_source"} <= set(result.written["deals"].columns)
+    found = rescan_changes(src, "2020-01-01 00:00:00")
+    assert found.count() == 2 and "rangepartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_changes_of_lost_records_and_of_no_record(spark, monkeypatch):
+    items = [("company", "recCompany1"), ("company", None), ("company", "recGone"),
+             ("company", "recGone", '{"company_name": "Kept"}'), ("company", "recGone"), ("company", "recCompany1")]
+    for most in (lookups.FEW, 0):
+        monkeypatch.setattr(lookups, "FEW", most)
+        got = outcomes(sync(changes(spark, *items), tables(spark, company=[FENNEL]), no_targets(spark)))
+        assert [(got[i].status, got[i].reason) for i in range(6)] == [
+            ("synced", None), *[("skipped", "record_not_found")] * 2, ("synced", None), ("skipped", "record_not_found"), ("synced", None)]
