@@ -136,20 +136,20 @@ def test_few_keys_filter_a_table_without_a_shuffle(spark):
 def test_many_or_long_keys_are_not_broadcast(spark, monkeypatch):
     parents = spark.range(1000).selectExpr("concat('k', id) as id", "id as n")
     keys = spark.range(0, 1000, 10).selectExpr("concat('k', id) as k")
-    for name, most in (("FEW", 99), ("FEW_BYTES", 300)):
-        with monkeypatch.context() as m:
-            assert few(keys)
-            m.setattr(lookups, name, most, raising=False)
-            assert not few(keys) and relevant(parents, "id", keys).count() == 100
-    assert not few(spark.range(200_000).selectExpr("concat('k', id) as k"))
+    assert few(keys)
+    with monkeypatch.context() as m:
+        m.setattr(lookups, "BROADCAST_BYTES", 9_700, raising=False)
+        assert not few(keys) and relevant(parents, "id", keys).count() == 100
+    assert not few(spark.range(700_000).selectExpr("concat('k', id) as k"))
+    assert not few(spark.range(700).selectExpr("repeat(cast(id % 10 as string), 100000) as k"))
 
 
 def test_a_small_file_of_many_rows_is_not_broadcast(spark):
     session = tune(spark.newSession())
-    rows, ids = (pin(session.range(600_000).selectExpr("concat('rec', id) as id", f"id as {n}")) for n in "ab")
+    rows, ids = (pin(session.range(1_000_000).selectExpr("concat('rec', id) as id", f"id as {n}")) for n in "ab")
     joined = rows.join(ids, "id", "left")
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
-    assert joined.where("a = b").count() == 600_000
+    assert joined.where("a = b").count() == 1_000_000
     narrow = spark.newSession()
     narrow.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
     assert tune(narrow).conf.get("spark.sql.autoBroadcastJoinThreshold") == "256k"

@@ -226,8 +226,24 @@ def test_records_are_written_once_and_moved_without_their_data(spark):
 def test_changes_of_lost_records_and_of_no_record(spark, monkeypatch):
     items = [("company", "recCompany1"), ("company", None), ("company", "recGone"),
              ("company", "recGone", '{"company_name": "Kept"}'), ("company", "recGone"), ("company", "recCompany1")]
-    for most in (lookups.FEW, 0):
-        monkeypatch.setattr(lookups, "FEW", most)
+    for most in (lookups.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(lookups, "BROADCAST_BYTES", most)
         got = outcomes(sync(changes(spark, *items), tables(spark, company=[FENNEL]), no_targets(spark)))
         assert [(got[i].status, got[i].reason) for i in range(6)] == [
             ("synced", None), *[("skipped", "record_not_found")] * 2, ("synced", None), ("skipped", "record_not_found"), ("synced", None)]
+
+
+def test_matches_are_written_only_where_an_own_id_is_taken(spark, monkeypatch):
+    from recordmill.operators import identity
+
+    written = []
+    monkeypatch.setattr(identity, "pin", lambda df: written.append(df) or pin(df))
+    rows = spark.createDataFrame([(f"r{n}", n, None, f"x:{n}", None) for n in range(4)],
+                                 "record_id string, seq bigint, known_id string, external_id string, natural_key string")
+    target = spark.createDataFrame([("T1", "x:1")], f"id string, {C.EXTERNAL_ID} string")
+    got = {r.record_id: (r.target_id, r.action) for r in resolve(rows, target, None).collect()}
+    own = {f"r{n}": r.id for n, r in enumerate(rows.orderBy("seq").select(new_id(F.col("external_id")).alias("id")).collect())}
+    assert not written and got == {r: ("T1", "updated") if r == "r1" else (own[r], "created") for r in own}
+    held = target.unionByName(spark.createDataFrame([(own["r2"], "other")], target.schema))
+    again = {r.record_id: r.target_id for r in resolve(rows, held, None).collect()}
+    assert written and again["r2"] not in (own["r2"], None) and again["r3"] == own["r3"]
